@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, url_filter
+from . import exact_dedup, language_id, packing, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
+    "op4_simhash": simhash.op4_simhash,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_url_filter": url_filter.op10_url_filter,
