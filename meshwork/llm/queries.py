@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, simhash, substring_dedup, url_filter
+from . import exact_dedup, fingerprint, language_id, packing, simhash, substring_dedup, url_filter
 
 QUERIES = {
+    "op1_fingerprint": fingerprint.op1_fingerprint,
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
