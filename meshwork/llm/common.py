@@ -87,3 +87,32 @@ def unpack_table(data: bytes):
     import zstandard
 
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
+
+
+def text_blocks(docs: DataFrame, name: str, block_bytes: int = 16 << 20, buckets: int | None = None) -> DataFrame:
+    """docs as packed blocks of about block_bytes of text: block, payload; a table bucketed by block.
+
+    Blocks follow the input's partitions, so packing needs no shuffle, and the payloads are compressed."""
+
+    def pack(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 24
+        kind = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
+        held, size = [], 0
+        for b in batches:
+            sizes = np.cumsum([len(x.as_py() or "") for x in b.column("text")])
+            cuts = np.unique(np.searchsorted(sizes, np.arange(block_bytes, (sizes[-1] if len(sizes) else 0) + 1, block_bytes)) + 1)
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                if z > a:
+                    held.append(b.slice(a, z - a))
+                    size += int(sizes[z - 1] - (sizes[a - 1] if a else 0))
+                if size >= block_bytes:
+                    yield pa.RecordBatch.from_pydict({"block": [at], "payload": [pack_table(pa.Table.from_batches(held))]}, schema=kind)
+                    held, size, at = [], 0, at + 1
+        if held:
+            yield pa.RecordBatch.from_pydict({"block": [at], "payload": [pack_table(pa.Table.from_batches(held))]}, schema=kind)
+
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(docs.mapInArrow(pack, "block long, payload binary"), name, "block", buckets)
