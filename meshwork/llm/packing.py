@@ -14,8 +14,8 @@ LENGTH = 2048
 #: Documents of a group, on average: a group is packed by one task and holds some 50 bytes for each piece.
 GROUP = 8192
 END_ID = 1
-#: White-space chunks whose ids a task remembers at once.
-MOST_CHUNKS = 400_000
+#: White-space chunks whose ids a worker remembers at once, some 200 bytes each.
+MOST_CHUNKS = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -42,26 +42,64 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 class Ids:
-    """Token ids of whole texts as little-endian 32-bit bytes. The tokenizer never joins across ASCII white space, so each chunk between such is encoded once and remembered, up to MOST_CHUNKS."""
+    """Token ids of whole texts as little-endian 32-bit bytes.
+
+    The tokenizer ignores case and never joins across ASCII white space, nor a letter or digit with the mark after it.
+    So each chunk between white space is encoded once and remembered, up to MOST_CHUNKS in a worker; new chunks of
+    letters only are encoded as one text and told apart by the tokens that end a word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _each(self, chunks: list[bytes]) -> None:
+        for w, e in zip(chunks, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in chunks], add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _letters(self, chunks: list[bytes]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(chunks).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(chunks):
+            return self._each(chunks)
+        data = ids.tobytes()
+        self.known.update(zip(chunks, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+
+    def learn(self, new: set[bytes]) -> None:
+        marked = {w for w in new if len(w) > 1 and w[-1:] in b".,;:!?" and w[-2:-1].isalnum()}
+        bare = [w for w in {w[:-1] for w in marked} | {w[-1:] for w in marked} | (new - marked) if w not in self.known]
+        letters = [w for w in bare if w.isalpha() or w.decode("utf-8", "replace").isalpha()]
+        for at in range(0, len(letters), 512):
+            self._letters(letters[at : at + 512])
+        others = [w for w in bare if w not in self.known]
+        for at in range(0, len(others), 4096):
+            self._each(others[at : at + 4096])
+        self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in marked)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        docs = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        docs = [(d if b"<|" in d else d.lower()).split() for d in data]
         if len(self.known) > MOST_CHUNKS:
             self.known = {}
-        new = list({w for d in docs for w in d if w not in self.known})
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
         known = self.known
+        new = {w for d in docs for w in d if w not in known}
+        if new:
+            self.learn(new)
         return [b"".join([known[w] for w in d]) for d in docs]
 
 
+_ids: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """One for each worker process, which goes on over its tasks."""
+    if path not in _ids:
+        _ids[path] = Ids(path)
+    return _ids[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, groups: int, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """The pieces of every document: whole sequences first, then what is left. The group is a hash of the id."""
     import os
@@ -72,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, groups: int, length: int = LENGTH, e
 
     def cut(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = Ids(tokenizer)
+        ids = ids_of(tokenizer)
         for b in batches:
             keys, texts, group = (b.column(c).to_pylist() for c in ("doc_id", "text", "group"))
             for at in range(0, len(texts), 256):
