@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, language_id, lm_score, packing, simhash, substring_dedup, url_filter
+from . import exact_dedup, fingerprint, language_id, lm_score, packing, quality, sentencepiece, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
+    "op2_sentencepiece": sentencepiece.op2_sentencepiece,
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
     "op5_lm_score": lm_score.op5_lm_score,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_quality": quality.op7_quality,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_url_filter": url_filter.op10_url_filter,
