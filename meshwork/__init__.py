@@ -1,0 +1 @@
+"""Sparse linear systems and run reports as Spark DataFrames."""
