@@ -388,3 +388,22 @@ def o03(spark, d):
     e = tables.table(spark, d, "events").select(F.col("user_id").alias("run"), "event_id", F.abs("value").alias("size"))
     k = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("size"), "event_id"))
     return e.withColumn("k", k.cast("long")).filter((F.col("k") <= 5) & (F.col("size") >= 10)).select("run", "k", "size")
+
+
+@query("q48_masked_components", """WITH RECURSIVE side AS (SELECT greatest(2, floor(sqrt(count(*) + 1e-6)))::BIGINT AS n FROM customer),
+ k AS (SELECT c_custkey AS cell, c_custkey % n AS i, n, c_acctbal AS v FROM customer, side WHERE c_custkey < n * n AND c_acctbal > 6000),
+ e AS (SELECT a.cell AS p, b.cell AS q FROM k a JOIN k b ON b.cell = a.cell + 1 AND a.i + 1 < a.n UNION ALL SELECT a.cell, b.cell FROM k a JOIN k b ON b.cell = a.cell + a.n),
+ b AS (SELECT p, q FROM e UNION ALL SELECT q, p FROM e),
+ r AS (SELECT cell AS x, cell AS y FROM k UNION SELECT r.x, b.q FROM r JOIN b ON r.y = b.p),
+ l AS (SELECT x AS cell, min(y) AS label FROM r GROUP BY x)
+SELECT label, count(*) AS cells, round(sum(v), 2) AS total FROM l JOIN k USING (cell) GROUP BY label""")
+def q48(spark, d):
+    """Connected components of the masked cells of a grid, and what each adds up to."""
+    from ..operators.graph import components
+
+    n = tables.grid_side(spark, d, "customer")
+    c = tables.table(spark, d, "customer").filter((F.col("c_custkey") < n * n) & (F.col("c_acctbal") > 6000))
+    cell = c.select(F.col("c_custkey").alias("cell"), (F.col("c_custkey") % n).alias("i"), F.floor(F.col("c_custkey") / n).alias("j"), F.lit(0).alias("k"), F.col("c_acctbal").alias("v"))
+    faces = grids.grid_faces(cell, n, n, 1).select(F.col("p_cell").alias("src"), F.col("q_cell").alias("dst"))
+    label = components(cell.select(F.col("cell").alias("idx")), faces)
+    return cell.join(label, F.col("cell") == F.col("idx")).groupBy("label").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("v"), 2).alias("total"))
