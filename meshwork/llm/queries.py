@@ -16,4 +16,8 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_url_filter": url_filter.op10_url_filter,
 }
-SQL = {"op8_exact_dedup": exact_dedup.OP8_SQL}
+SQL = {
+    "op6_substring_dedup": substring_dedup.OP6_SQL,
+    "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op10_url_filter": url_filter.OP10_SQL,
+}

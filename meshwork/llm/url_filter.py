@@ -73,7 +73,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, most_bad: fl
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     judged = parts.join(reputation(parts, outcomes).select("host", "bad_rate", "lower"), "host")
     by_method = F.when(F.col("lower") > most_bad, "block").otherwise("allow")
-    return judged.select(F.col("page_id").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "bad_rate", "lower")
+    return judged.select(F.col("page_id").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), F.round("bad_rate", 9).alias("bad_rate"), F.round("lower", 9).alias("lower"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,3 +81,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = common.table(spark, sf_dir, "labels")
     bad = F.greatest(F.coalesce(F.col("toxic"), F.lit(0)), 1 - F.coalesce(F.col("quality"), F.lit(1)))
     return filter_urls(common.table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+
+
+_PRIOR = """SELECT CASE WHEN n IS NULL OR n = 0 THEN 0.5 WHEN k > 0 AND k < n AND n - nn / n > 0 THEN k / n ELSE least(greatest(k / n, 1e-6), 1 - 1e-6) END AS p,
+ CASE WHEN n IS NULL OR n = 0 THEN 1.0 WHEN NOT (k > 0 AND k < n AND n - nn / n > 0) THEN 1000.0 WHEN (kk - k * k / n - (g - 1) * k / n * (1 - k / n)) <= 0 THEN 1000.0
+ ELSE least(greatest(k / n * (1 - k / n) / ((kk - k * k / n - (g - 1) * k / n * (1 - k / n)) / (n - nn / n)) - 1, 1.0), 1000.0) END AS s
+ FROM (SELECT sum(n) AS n, sum(k) AS k, count(*) AS g, sum(k * k / n) AS kk, sum(n * n) AS nn FROM {0} WHERE n > 0)"""
+OP10_SQL = rf"""
+WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+l AS (SELECT doc_id, max(greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1)))::DOUBLE AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0) AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM p LEFT JOIN l ON doc_id = page_id GROUP BY host),
+d AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain),
+x AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY suffix),
+ph AS ({_PRIOR.format("h")}), pd AS ({_PRIOR.format("d")}), px AS ({_PRIOR.format("x")}),
+mx AS (SELECT suffix, (k + px.s * px.p) / (n + px.s) AS m FROM x, px),
+md AS (SELECT domain, (k + pd.s * mx.m) / (n + pd.s) AS m FROM d JOIN mx USING (suffix), pd),
+mh AS (SELECT host, (k + ph.s * md.m) / (n + ph.s) AS m, n + ph.s AS w FROM h JOIN md USING (domain), ph),
+r(what, rule, rh, rp) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+f AS (SELECT page_id, host, path, max_by(rule, (length(rule), rule)) AS rule, max_by(what, (length(rule), rule)) AS what FROM (SELECT DISTINCT page_id, host, path FROM p) JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.what, CASE WHEN m - 1.645 * sqrt(m * (1 - m) / (w + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(m, 9) AS bad_rate, round(m - 1.645 * sqrt(m * (1 - m) / (w + 1)), 9) AS lower
+FROM p JOIN mh ON p.host = mh.host LEFT JOIN f ON f.page_id IS NOT DISTINCT FROM p.page_id AND f.host = p.host AND f.path = p.path
+"""
