@@ -56,6 +56,20 @@ def chosen(key: Column, rate: float) -> Column:
     return F.pmod(F.xxhash64(F.lit(0x5EED), key), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
 
 
+def release() -> None:
+    """Gives freed memory of a Python worker back, since workers go on to other tasks beside the JVM."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Sorted uint64 values as zstd over the byte planes of their differences; about 6 bytes each where they are dense."""
     import zstandard

@@ -15,7 +15,7 @@ LENGTH = 2048
 GROUP = 8192
 END_ID = 1
 #: White-space chunks whose ids a worker remembers at once, some 200 bytes each.
-MOST_CHUNKS = 1_000_000
+MOST_CHUNKS = 600_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -112,14 +112,15 @@ def pieces(docs: DataFrame, tokenizer: str, groups: int, length: int = LENGTH, e
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids = ids_of(tokenizer)
         for b in batches:
-            keys, texts, group = (b.column(c).to_pylist() for c in ("doc_id", "text", "group"))
-            for at in range(0, len(texts), 256):
+            for at in range(0, b.num_rows, 256):
+                keys, texts, group = (b.column(c).slice(at, 256).to_pylist() for c in ("doc_id", "text", "group"))
                 rows: list[tuple] = []
-                for k, g, data in zip(keys[at : at + 256], group[at : at + 256], ids.encode(texts[at : at + 256])):
+                for k, g, data in zip(keys, group, ids.encode(texts)):
                     data += end
                     n = len(data) // 4
                     rows += [(k, s, min(length, n - s), zlib.crc32(data[4 * s : 4 * (s + length)]), n, g) for s in range(0, n, length)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "group"])
+        common.release()
 
     group = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id"), F.length("text")), F.lit(groups))
     return docs.select(F.col("doc_id").cast("long"), "text", group.alias("group")).mapInArrow(cut, PIECES)

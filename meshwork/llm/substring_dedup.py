@@ -18,7 +18,7 @@ from . import common
 
 WINDOW = 20
 #: Bytes of text of a block, and windows of a hash range, on average.
-BLOCK_BYTES, RANGE_WINDOWS = 8 << 20, 4 << 20
+BLOCK_BYTES, RANGE_WINDOWS = 4 << 20, 2 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -99,6 +99,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
         every = np.unique(np.concatenate([np.empty(0, np.uint64), *(window_hashes(_words(x.as_py()), window) for x in docs_.column("text"))]))
         cuts = np.searchsorted(every, np.array([r * step for r in range(1, ranges)], dtype=np.uint64))
         parts = [(r, x) for r, x in enumerate(np.split(every, cuts)) if len(x)]
+        common.release()
         return pa.table({"range": pa.array([r for r, _ in parts], pa.int64()), "block": pa.array([block] * len(parts), pa.int64()), "hashes": pa.array([common.pack_sorted(x) for _, x in parts], pa.binary())})
 
     def repeats(t):
@@ -118,6 +119,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
         hashes, of = hashes[order], of[order]
         for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1) if len(of) else ():
             out.append((names[of[part[0]]], common.pack_sorted(hashes[part])))
+        del every, order, hashes, of
+        common.release()
         return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "hashes": pa.array([x for _, x in out], pa.binary())})
 
     def remove(t, earlier):
@@ -141,6 +144,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
             gone = covered(starts, len(w), window) if len(starts) else None
             removed.append(0 if gone is None else int(gone.sum()))
             kept.append(w if gone is None else list(itertools.compress(w, ~gone)))
+        del hashes, every, order, ordered, again, known
+        common.release()
         if not texts:
             return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(map(len, words), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k in kept], pa.string())})
         new = [b" ".join(k).decode("utf-8", "surrogatepass") if n else old.as_py() for n, k, old in zip(removed, kept, rows.column("text"))]
@@ -157,3 +162,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS turn FROM s),
+g AS (SELECT DISTINCT doc_id, i + o AS p FROM k, (SELECT unnest(range(20)) AS o) WHERE turn > 1),
+t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS text FROM t ANTI JOIN g USING (doc_id, p) GROUP BY doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
