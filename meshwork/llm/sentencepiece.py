@@ -19,7 +19,8 @@ from . import common
 SPACE = "▁"
 #: Longest piece, in code points, and longest word that the fold takes (its places fit in a long); longer ones are rare and merged in Python.
 LONGEST_PIECE, LONGEST_WORD = 16, 62
-MOST_WORDS = 400_000
+#: Bytes of text of a block, and of the corpus for each range of words, on average.
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
 
 
 class Pieces:
@@ -31,9 +32,13 @@ class Pieces:
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         n = p.get_piece_size()
         self.size = n
+        self.kind = "<u2" if n <= 1 << 16 else "<u4"
         self.rows = [(p.id_to_piece(i), i, float(p.get_score(i))) for i in range(n) if not (p.is_control(i) or p.is_byte(i) or p.is_unknown(i))]
         self.bytes_ = {int(p.id_to_piece(i)[3:5], 16): i for i in range(n) if p.is_byte(i)}
         self.unknown = p.unk_id()
+        self.pairs = frozenset(s[i : i + 2] for s, _, _ in self.rows for i in range(len(s) - 1))
+        #: Marks that no piece has after a letter.
+        self.ends = frozenset(".,;:!?%&$#*|") - {b for a, b in self.pairs if a.isalpha()}
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, "piece string, id int, score double")
@@ -54,27 +59,41 @@ def words_of(text: str | None) -> list[str]:
     return out
 
 
+def atoms_of(word: str, pieces: Pieces) -> tuple[str, ...]:
+    """The word cut where no piece has the two characters on either side, so that no merge can join them."""
+    if word[1:].isalpha():
+        return (word,)
+    if word[-1] in pieces.ends and word[1:-1].isalpha():
+        return word[:-1], word[-1]
+    cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pieces.pairs), len(word)]
+    return tuple(word[x:y] for x, y in zip(cuts, cuts[1:]))
+
+
 def edges(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """word, edges: for each word of up to LONGEST_WORD code points the pieces of two code points and more that it contains: score, s, e (from, to), id; best first."""
-    n = F.length("word")
-    ends = lambda s: F.sequence(s + 2, F.least(s + LONGEST_PIECE, n))
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda s: F.transform(ends(s), lambda e: F.struct(s.alias("s"), e.alias("e"), F.substring(F.col("word"), s + 1, e - s).alias("piece")))))
-    parts = words.filter(n.between(2, LONGEST_WORD)).select("word", F.explode(spans).alias("x")).select("word", "x.*")
-    found = parts.join(F.broadcast(pieces), "piece")
-    return found.groupBy("word").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("cost"), "s", "e", "id"))).alias("edges"))
+    """words with edges: for each word of up to LONGEST_WORD code points the pieces of two code points and more that it
+    contains: cost (minus the score), s, e (from, to), the bits of both borders (ends) and of the places between (inner);
+    best first, then leftmost. Every word keeps a row. Words must be different and partitioned by themselves."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+    n, s, e = F.length("word"), F.col("s"), F.col("e")
+    starts = words.withColumn("s", F.explode(F.when(n.between(2, LONGEST_WORD), F.sequence(F.lit(-1), n - 2)).otherwise(F.array(F.lit(-1)))))  # -1 stands for the word itself
+    spans = starts.withColumn("e", F.explode(F.when(s < 0, F.array(F.lit(0))).otherwise(F.sequence(s + 2, F.least(s + LONGEST_PIECE, n)))))
+    parts = spans.withColumn("piece", F.when(s >= 0, F.substring(F.col("word"), s + 1, e - s)))
+    found = parts.join(F.broadcast(pieces.select("piece", (-F.col("score")).alias("cost"))), "piece", "left").filter("s < 0 OR cost IS NOT NULL")
+    edge = F.when(s >= 0, F.struct("cost", "s", "e", bit(s).bitwiseOR(bit(e)).alias("ends"), (bit(e) - bit(s + 1)).alias("inner")))
+    rest = [c for c in words.columns if c != "word"]
+    return found.groupBy("word").agg(*(F.first(c).alias(c) for c in rest), F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def merge_fold(edges_: Column, length: Column) -> Column:
     """BPE: the borders that are left (bits of a long) after merging, from each code point's own segment."""
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
-    fits = lambda m, x: ((m.bitwiseAND(bit(x.s)) != 0) & (m.bitwiseAND(bit(x.e)) != 0) & (F.bit_count(m.bitwiseAND(bit(x.e) - 1 - (bit(x.s + 1) - 1))) == 1))
+    fits = lambda m, x: (m.bitwiseAND(x.ends) == x.ends) & (F.bit_count(m.bitwiseAND(x.inner)) == 1)
 
     def step(m: Column, _: Column) -> Column:
-        best = F.get(F.filter(edges_, lambda x: fits(m, x)), F.lit(0))
-        inner = F.get(F.transform(F.array(best), lambda x: bit(x.e) - 1 - (bit(x.s + 1) - 1)), F.lit(0))
+        inner = F.get(F.filter(edges_, lambda x: fits(m, x)), F.lit(0)).getField("inner")
         return F.coalesce(m.bitwiseAND(F.bitwise_not(inner)), m)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), F.call_function("shiftleft", F.lit(2).cast("long"), length.cast("int")) - 1, step)
+    every = F.call_function("shiftleft", F.lit(2).cast("long"), length.cast("int")) - 1
+    return F.when(F.size(edges_) == 0, every).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), every, step))
 
 
 def viterbi_fold(edges_: Column, length: Column, unknown: float = -1e6) -> Column:
@@ -120,19 +139,19 @@ def merge_long(word: str, score: dict[str, float]) -> list[str]:
     return out
 
 
-def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, ids: of each different word (null and empty ones are left out)."""
+def encoded_words(words: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
+    """words (word and others, each word once and not empty) with the ids, as bytes of pieces.kind; dealt to so many parts."""
     import pyarrow as pa
 
-    words = words.filter("word <> ''")
-    lattice = edges(words, pieces.table(words.sparkSession))
     n = F.length("word").cast("int")
-    borders = lattice.select("word", merge_fold(F.col("edges"), n).alias("borders"))
+    rest = [c for c in words.columns if c != "word"]
+    lattice = edges(words.repartition(parts, "word"), pieces.table(words.sparkSession))
+    borders = lattice.select("word", *rest, F.when(n <= LONGEST_WORD, merge_fold(F.col("edges"), n)).alias("borders"))
     known, score = {p: i for p, i, _ in pieces.rows}, {p: s for p, _, s in pieces.rows}
-    bytes_, unknown = pieces.bytes_, pieces.unknown
+    bytes_, unknown, kind = pieces.bytes_, pieces.unknown, pieces.kind
 
-    def ids(segments):
-        out = []
+    def ids(segments) -> bytes:
+        out: list[int] = []
         for s in segments:
             if s in known:
                 out.append(known[s])
@@ -140,62 +159,106 @@ def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
                 out += [bytes_[b] for b in s.encode("utf-8", "surrogatepass")]
             else:
                 out.append(unknown)
-        return out
+        return np.array(out, dtype=kind).tobytes()
 
     def name(batches):
         for b in batches:
             found = []
             for w, m in zip(b.column("word").to_pylist(), b.column("borders").to_pylist()):
-                if m is not None:
-                    at = [i for i in range(len(w) + 1) if m >> i & 1]
-                    found.append(ids(w[x:y] for x, y in zip(at, at[1:])))
+                if m is None:
+                    found.append(ids(merge_long(w, score)))
                 else:
-                    found.append(ids(merge_long(w, score) if len(w) > LONGEST_WORD else w))
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(found, pa.list_(pa.int32()))], names=["word", "ids"])
+                    at = [i for i in range(len(w) + 1) if m >> i & 1]
+                    found.append(ids([w[x:y] for x, y in zip(at, at[1:])]))
+            yield pa.RecordBatch.from_arrays([b.column("word"), *(b.column(c) for c in rest), pa.array(found, pa.binary())], names=["word", *rest, "ids"])
 
-    return words.join(borders, "word", "left").mapInArrow(name, "word string, ids array<int>")
+    schema = words.select("word", *rest, F.lit(b"").alias("ids")).schema
+    return borders.mapInArrow(name, schema)
 
 
-def _block_words(batches):
+def _packed(lists: list[list]) -> bytes:
     import pyarrow as pa
 
-    for b in batches:
-        for block, payload in zip(b.column("block").to_pylist(), b.column("payload").to_pylist()):
-            found: dict[str, None] = {}
-            for text in common.unpack_table(payload).column("text"):
-                found.update(dict.fromkeys(words_of(text.as_py())))
-            words = list(found)
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([block] * len(part), pa.int64())], names=["word", "block"])
+    return common.pack_table(pa.table({f"c{i}": x for i, x in enumerate(lists)}))
 
 
-def encode(docs: DataFrame, model: str, ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of little-endian 32-bit ids), ids of each row, as the library encodes its text.
 
     Null and empty texts have no ids. Special pieces' names in a text are ordinary text; characters without a piece are
-    their bytes'. Repeated rows get a row each. Only doc_id and text are read. An empty table gives no rows."""
-    blocks = common.text_blocks(docs.select(F.col("doc_id").cast("long"), "text"), "piece_blocks")
-    found = common.written(blocks.mapInArrow(_block_words, "word string, block long"), "block_words")
-    names = encoded_words(found.select("word").distinct(), Pieces(model))
-    told = found.join(names, "word").select("block", "word", "ids")
+    their bytes'. Repeated rows get a row each. Only doc_id and text are read. An empty table gives no rows.
+
+    Documents are packed into blocks and words dealt to ranges; blocks send ranges their different words and get these
+    words' ids back, both as packed lists, so that a word costs a few bytes for each block that has it."""
+    pieces = Pieces(model)
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, -(-size // RANGE_BYTES))
+    blocks = common.text_blocks(own, "piece_blocks", BLOCK_BYTES)
+
+    def ask(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for block, payload in zip(b.column("block").to_pylist(), b.column("payload").to_pylist()):
+                words: set[str] = set()
+                for text in common.unpack_table(payload).column("text"):
+                    words.update(words_of(text.as_py()))
+                dealt: dict[int, list[str]] = {}
+                for x in {x for w in words for x in atoms_of(w, pieces)}:
+                    dealt.setdefault(zlib.crc32(x.encode()) % ranges, []).append(x)
+                yield pa.RecordBatch.from_arrays([pa.array([*dealt], pa.int64()), pa.array([block] * len(dealt), pa.int64()), pa.array([_packed([sorted(x)]) for x in dealt.values()], pa.binary())], names=["range", "block", "words"])
+
+    asked = common.written(blocks.mapInArrow(ask, "range long, block long, words binary"), "block_words")
+
+    def different(t):
+        import pyarrow as pa
+
+        words: set[str] = set()
+        for x in t.column("words"):
+            words.update(common.unpack_table(x.as_py()).column(0).to_pylist())
+        return pa.table({"word": pa.array(sorted(words), pa.string()), "range": pa.array([t.column("range")[0].as_py()] * len(words), pa.int64())})
+
+    words = asked.groupBy("range").applyInArrow(different, "word string, range long")
+
+    def answer(t, w):
+        import pyarrow as pa
+
+        known = dict(zip(w.column("word").to_pylist(), w.column("ids").to_pylist()))
+        out = []
+        for x in t.column("words"):
+            own_words = common.unpack_table(x.as_py()).column(0).to_pylist()
+            out.append(_packed([own_words, [known[x] for x in own_words]]))
+        return pa.table({"block": t.column("block"), "told": pa.array(out, pa.binary())})
+
+    told = asked.groupBy("range").cogroup(encoded_words(words, pieces, 2 * ranges).groupBy("range")).applyInArrow(answer, "block long, told binary")
 
-    def gather(t, w):
+    def gather(t, answers):
         import pyarrow as pa
 
-        flat = w.column("ids").combine_chunks()
-        values, cuts = flat.flatten().to_numpy().astype("<u4"), (flat.offsets.to_numpy() - flat.offsets[0].as_py()).tolist()
-        data = values.tobytes()
-        known = {x: data[4 * a : 4 * b] for x, a, b in zip(w.column("word").to_pylist(), cuts, cuts[1:])}
+        known: dict[str, bytes] = {}
+        for x in answers.column("told"):
+            a = common.unpack_table(x.as_py())
+            known.update(zip(a.column(0).to_pylist(), a.column(1).to_pylist()))
+        of_word: dict[str, bytes] = {}
         keys, out = [], []
         for payload in t.column("payload").to_pylist():
-            own = common.unpack_table(payload)
-            keys += own.column("doc_id").to_pylist()
-            out += [b"".join([known[x] for x in words_of(text)]) for text in own.column("text").to_pylist()]
+            part = common.unpack_table(payload)
+            keys += part.column("doc_id").to_pylist()
+            for text in part.column("text"):
+                found = words_of(text.as_py())
+                for w in found:
+                    if w not in of_word:
+                        of_word[w] = b"".join([known[x] for x in atoms_of(w, pieces)])
+                out.append(np.frombuffer(b"".join([of_word[w] for w in found]), dtype=pieces.kind).astype("<u4").tobytes())
         lengths = [len(x) // 4 for x in out]
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        crc = [zlib.crc32(x) for x in out]
+        del known, of_word
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(out), dtype="<i4"), pa.int32()))
-        return pa.table({"doc_id": pa.array(keys, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(map(zlib.crc32, out), pa.int64()), "ids": lists})
+        del out
+        common.release()
+        return pa.table({"doc_id": pa.array(keys, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "ids": lists})
 
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(gather, "doc_id long, n_tokens long, ids_crc32 long, ids array<int>")
 
@@ -211,8 +274,10 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            texts = [None if x is None else b"".join([table[i] for i in x]).removeprefix(b" ").decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, "text"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts = [None if x.values is None else b"".join([table[i] for i in x.values.to_numpy().tolist()]).removeprefix(b" ").decode("utf-8", "replace") for x in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, "text"])
 
     schema = encoded.select(*rest, F.lit("").alias("text")).schema
     return encoded.select(*rest, "ids").mapInArrow(join, schema)
