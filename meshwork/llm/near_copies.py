@@ -1,28 +1,26 @@
 """Near copies by word shingles, for corpora in which a pair may share as little as 0.8 of its five-word shingles.
 
 At that similarity some ten of a SimHash's 64 bits differ, and no distance table tells such pairs from any others. So
-here the fingerprint has 2048 bits: pairs that agree in a whole band of 22 bits are candidates, a 64-bit part of the
-fingerprint discards nearly all that met by chance, and all bits verify the rest."""
+candidates share one of their rarest shingles (a prefix-filter join), which no pair of that similarity escapes, and the
+shingles that both have are counted."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 from .simhash import shingle_hashes
 
-WORDS, BAND = 32, 22
-BITS, BANDS = 64 * WORDS, 64 * WORDS // BAND
+WORDS = 32
+BITS = 64 * WORDS
 _ODD = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Members of a band's bucket that are compared with each other; in larger buckets, each is compared with so many hubs.
-MOST_PAIRED, HUBS = 64, 32
-#: Of the first 64 bits, so many may differ: 3.5 standard deviations above what a similarity of 0.8 gives.
-NEAR_64 = 20
+#: Bytes of text of a block, and shingles of a hash range, on average.
+BLOCK_BYTES, RANGE_SHINGLES = 8 << 20, 2 << 20
 
 
 def _carry(a, b, c):
@@ -56,70 +54,166 @@ def wide_bits(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
 
 
-def wide_prints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (different shingles), first (64 bits), bits, keys (one for each band) of each row with a doc_id."""
+def _sets(texts, size: int) -> list[np.ndarray]:
+    """The different shingle hashes of each text, in order."""
+    return [np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass").lower().split(), size)) for t in texts]
+
+
+def _digests(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, digest of the set of shingles."""
 
     def make(batches):
+        import hashlib
+
         import pyarrow as pa
 
         for b in batches:
-            hashes = [shingle_hashes((t or "").encode("utf-8", "surrogatepass").lower().split(), size) for t in b.column("text").to_pylist()]
-            data = [wide_bits(h) for h in hashes]
-            keys = np.zeros((len(data), BANDS), dtype=np.int64)
-            for at in range(0, len(data), 1000):
-                bits = np.unpackbits(np.frombuffer(b"".join(data[at : at + 1000]), dtype=np.uint8), bitorder="little").reshape(-1, BITS)[:, : BAND * BANDS]
-                keys[at : at + 1000] = bits.reshape(-1, BANDS, BAND) @ (1 << np.arange(BAND, dtype=np.int64)) + (np.arange(BANDS, dtype=np.int64) << BAND)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(data) + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-            first = np.array([int.from_bytes(x[:8], "little", signed=True) for x in data], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(np.unique(h)) for h in hashes], pa.int32()), pa.array(first), pa.array(data, pa.binary()), lists], names=["doc_id", "n", "first", "bits", "keys"])
+            data = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in _sets(b.column("text").to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "digest"])
 
-    own = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    return own.mapInArrow(make, "doc_id long, n int, first long, bits binary, keys array<long>")
+    return docs.mapInArrow(make, "doc_id long, digest binary")
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose similarity, as all bits estimate it, is high enough."""
-    side = lambda c: prints.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def rare_shingles(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """key (a shingle's hash), doc_id, n, place, alone, short: each document's rarest shingles that another has as well.
 
-    def verify(batches):
+    Shingles are ordered by the number of documents that have them. Of two documents with a similarity high enough, the
+    larger has one of the other's first n - ceil(2s / (1 + s) n) + 1 (short) among its first n - ceil(s n) + 1, whatever
+    the order is. place is the shingle's in that order; alone is how many of the document's no other has.
+
+    Blocks send their different hashes, four bytes each, to ranges; a range tells the blocks which of theirs are met
+    again, and how often. A shingle that all documents have is sent once for each block."""
+    import zstandard
+
+    blocks = common.text_blocks(docs, "near_blocks", BLOCK_BYTES)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    power = max(0, math.ceil(math.log2(max(1, total / (6 * RANGE_SHINGLES)))))
+    cut = np.uint64(32 - power)
+    pack = lambda x: zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x, dtype=np.uint32).tobytes())
+    unpack = lambda x: np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint32)
+    names = ["range", "block", "hashes", "times"]
+
+    def send(batches):
         import pyarrow as pa
 
-        for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=np.uint64).reshape(-1, WORDS) for c in ("bits_a", "bits_b"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1)
-            n_a, n_b = (t.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
-            shared = np.cos(math.pi * apart / BITS) * np.sqrt(n_a * n_b)
-            sure = (apart == 0) & (n_a == n_b) | (shared >= similarity * (n_a + n_b - shared))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(sure))
+        for b in batches:
+            for block, payload in zip(b.column("block").to_pylist(), b.column("payload").to_pylist()):
+                every = np.concatenate([np.empty(0, np.uint64), *_sets(common.unpack_table(payload).column("text").to_pylist(), size)])
+                every, times = np.unique(every >> cut, return_counts=True)
+                at = np.searchsorted(every, np.arange(1, 1 << power, dtype=np.uint64) << np.uint64(32))
+                parts = [(r, x, k) for r, (x, k) in enumerate(zip(np.split(every, at), np.split(times, at))) if len(x)]
+                del every, times
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array([pack(x & np.uint64(0xFFFFFFFF)) for _, x, _ in parts], pa.binary()), pa.array([pack(k) for _, _, k in parts], pa.binary())], names=names)
+            common.release()
+
+    def meet(t):
+        import pyarrow as pa
 
-    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(verify, "a long, b long")
+        lists, times = ([unpack(x.as_py()) for x in t.column(c)] for c in ("hashes", "times"))
+        every, back = np.unique(np.concatenate(lists), return_inverse=True)
+        sums = np.bincount(back, np.concatenate(times), len(every))
+        out, at = [], 0
+        for block, x in zip(t.column("block").to_pylist(), lists):
+            own = sums[back[at : at + len(x)]]
+            at += len(x)
+            again = own > 1
+            if again.any():
+                out.append((t.column("range")[0].as_py(), block, pack(x[again]), pack(np.minimum(own[again], 0xFFFFFFFF))))
+        del lists, times, every, back, sums
+        common.release()
+        return pa.table([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=names)
+
+    def choose(t, met):
+        import pyarrow as pa
 
+        met = met.sort_by("range")
+        known = np.concatenate([np.empty(0, np.uint64), *((np.uint64(r) << np.uint64(32)) | unpack(x).astype(np.uint64) for r, x in zip(met.column("range").to_pylist(), met.column("hashes").to_pylist()))])
+        often = np.concatenate([np.empty(0, np.uint32), *(unpack(x) for x in met.column("times").to_pylist())])
+        out = []
+        for payload in t.column("payload").to_pylist():
+            rows = common.unpack_table(payload)
+            sets = _sets(rows.column("text").to_pylist(), size)
+            n = np.array([len(s) for s in sets], dtype=np.int64)
+            every, of = np.concatenate([np.empty(0, np.uint64), *sets]), np.repeat(np.arange(len(n)), n)
+            count = np.ones(len(every), dtype=np.uint32)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, every >> cut), len(known) - 1)
+                count = np.where(known[at] == every >> cut, often[at], count)
+            order = np.lexsort((every, count, of))
+            place = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
+            alone = np.bincount(of, count == 1, len(n)).astype(np.int64)
+            first = lambda share: n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
+            every, of, count = every[order], of[order], count[order]
+            use = (count > 1) & (place < first(similarity)[of])
+            every, of, place = every[use], of[use], place[use]
+            ids = rows.column("doc_id").combine_chunks().take(pa.array(of))
+            short = place < first(2 * similarity / (1 + similarity))[of]
+            out.append(pa.table([pa.array(every.view(np.int64)), ids, *(pa.array(x.astype(np.int32)) for x in (n[of], place, alone[of])), pa.array(short)], names=["key", "doc_id", "n", "place", "alone", "short"]))
+        common.release()
+        return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())], names=["key", "doc_id", "n", "place", "alone", "short"])
+
+    schema = "range long, block long, hashes binary, times binary"
+    met = blocks.mapInArrow(send, schema).groupBy("range").applyInArrow(meet, schema)
+    return blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(choose, "key long, doc_id long, n int, place int, alone int, short boolean")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are alike enough, counted."""
 
-def _near(x: str, y: str):
-    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= NEAR_64
+    def make(batches):
+        import pyarrow as pa
 
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in _sets(b.column("text").to_pylist(), size)], pa.binary())], names=["doc_id", "shingles"])
 
-def near_links(prints: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links that connect what pairs of a high enough estimated Jaccard similarity, met in a bucket, would.
+    def verify(batches):
+        import pyarrow as pa
 
-    First every member of a bucket meets the bucket's first; then only members that are not connected yet meet each
-    other, so that a large group of copies costs a pair for each member and bucket, not one for each two members."""
-    keyed = prints.select("doc_id", "first", F.explode("keys").alias("key"))
-    by_hash = F.xxhash64("doc_id")  # the same order in all buckets: they share their first members
-    of = Window.partitionBy("key")
-    first = F.first(F.struct("doc_id", "first")).over(of.orderBy(by_hash, "doc_id"))
-    members = keyed.withColumns({"size": F.count(F.lit(1)).over(of), "turn": F.row_number().over(of.orderBy(by_hash, "doc_id")), "hub": first})
-    members = common.written(members.filter("size > 1"), "band_members")
+        for t in batches:
+            sure, held = [], (None, None)
+            for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist()):
+                if held[0] != x:
+                    held = x, np.frombuffer(x, dtype=np.uint64)
+                x, y = held[1], np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                sure.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(sure, pa.bool_()))
+
+    pairs = common.written(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = common.written(docs.join(ends, "doc_id", "left_semi").mapInArrow(make, "doc_id long, shingles binary"), "shingles")
+    side = lambda c, s: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(s))
+    both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def near_links(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """a, b: links that connect what all pairs of a high enough Jaccard similarity would.
+
+    Equal sets are linked to the first of them, which stands for all. Then every document meets, for each of its rare
+    shingles, the most central document that has it; at last those that are not connected yet and share a rare shingle
+    meet each other, unless their sizes or the shingle's places show that they can't be alike enough. So a group of
+    copies costs a pair for each member and shingle, not one for each two members, and no pair is left out."""
+    own = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    digests = common.written(_digests(own, size), "digests")
+    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    equal = common.written(digests.join(firsts, "digest").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "equal_links")
+    members = rare_shingles(own, size, similarity).join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    members = common.written(members.withColumn("rank", F.struct((F.col("alone") * 1000 / F.col("n")).cast("int").alias("share"), F.xxhash64("doc_id").alias("hash"), "doc_id", "n")), "rare_shingles")
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    to_hub = members.filter("turn > 1").filter(_near("first", "hub.first")).select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b"))
-    found = common.written(_verified(ordered(to_hub), prints, similarity), "hub_links")
+    sized = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    hubs = members.groupBy("key").agg(F.min("rank").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = common.written(members.drop("rank").join(hubs, "key"), "shared_shingles")
+    to_hub = members.filter("doc_id <> hub.doc_id").filter(sized(F.col("n"), F.col("hub.n"))).select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b"))
+    found = common.written(_verified(ordered(to_hub), own, size, similarity), "hub_links").union(equal)
     label = components(found).withColumnRenamed("node", "doc_id")
-    open_ = members.join(label, "doc_id", "left").select("key", "doc_id", "first", "size", "turn", F.coalesce("component", "doc_id").alias("label"))
-    left = open_.filter((F.col("size") <= MOST_PAIRED) | (F.col("turn") <= HUBS)).select("key", F.col("doc_id").alias("a"), F.col("first").alias("first_a"), F.col("turn").alias("turn_a"), F.col("label").alias("label_a"))
-    right = open_.select("key", F.col("doc_id").alias("b"), F.col("first").alias("first_b"), "turn", "label")
-    met = left.join(right, "key").filter("turn_a < turn AND label_a <> label").filter(_near("first_a", "first_b"))
-    return found.union(_verified(ordered(met), prints, similarity))
+    open_ = members.join(label, "doc_id", "left").select("key", "doc_id", "n", "place", "short", F.coalesce("component", "doc_id").alias("label"))
+    left = open_.filter("short").select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("label").alias("label_a"))
+    right = open_.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("label").alias("label_b"))
+    # those before the first shared shingle can't be shared, so no more than the shorter rest is
+    enough = (1 + similarity) * F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6
+    met = left.join(right, "key").filter("(n_a < n_b OR n_a = n_b AND a < b) AND label_a <> label_b").filter(sized(F.col("n_a"), F.col("n_b"))).filter(enough)
+    return found.union(_verified(ordered(met), own, size, similarity))
 
 
 def near_copy_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -127,8 +221,7 @@ def near_copy_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
 
     Texts without words are linked to each other; a text of fewer words than a shingle is one shingle. Null doc_ids are
     never linked. An empty table gives no rows."""
-    prints = common.written(wide_prints(docs, size), "wide_prints")
-    return components(near_links(prints, similarity)).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+    return components(near_links(docs, size, similarity)).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
