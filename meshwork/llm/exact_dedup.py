@@ -65,9 +65,12 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", index:
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose text an earlier row has; all columns stay. Keys are taken as unique; a row without a key stays only if no other row has its text."""
-    kept = exact_dedup(docs, text, key).filter("kept").select(F.col(key).alias("__kept"))
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
+    """docs with one row for each text, that of the smallest key; all columns stay. Keys may be repeated or null: a row
+    without a key stays only if no row with one has its text, and of rows with the same key and text one stays."""
+    row = lambda digest: F.concat(digest, F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    kept = exact_dedup(docs, text, key).filter("kept").select(row(F.col("text_sha256")).alias("__row"))
+    turn = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1)))
+    return docs.withColumn("__row", row(text_digest(F.col(text)))).join(kept, "__row", "left_semi").withColumn("__turn", turn).filter("__turn = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
