@@ -40,10 +40,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """As written(), bucketed by key in the warehouse: later groupings and joins on key read it without a shuffle."""
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, folders: list[str] | None = None, kind: Column | None = None) -> DataFrame:
+    """As written(), bucketed by key in the warehouse: later groupings and joins on key read it without a shuffle. With
+    kind, a column of that value is added and named by folders, and each of its values gets a folder of its own."""
     full = f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(buckets, key).saveAsTable(full)
+    out = (df if kind is None else df.withColumn(folders[0], kind)).write.format("parquet").bucketBy(buckets, key)
+    (out if kind is None else out.partitionBy(*folders)).saveAsTable(full)
     return df.sparkSession.table(full)
 
 
@@ -103,6 +105,25 @@ def unpack_table(data: bytes):
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
 
 
+def sized(batches, block_bytes: int):
+    """Lists of Arrow batches with about block_bytes of text each, cut between rows."""
+    import pyarrow.compute as pc
+
+    held, size = [], 0
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.unique(np.searchsorted(sizes, np.arange(block_bytes, (sizes[-1] if len(sizes) else 0) + 1, block_bytes)) + 1)
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+            if z > a:
+                held.append(b.slice(a, z - a))
+                size += int(sizes[z - 1] - (sizes[a - 1] if a else 0))
+            if size >= block_bytes:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def text_blocks(docs: DataFrame, name: str, block_bytes: int = 16 << 20, buckets: int | None = None) -> DataFrame:
     """docs as packed blocks of about block_bytes of text: block, payload; a table bucketed by block.
 
@@ -112,20 +133,8 @@ def text_blocks(docs: DataFrame, name: str, block_bytes: int = 16 << 20, buckets
         import pyarrow as pa
         from pyspark import TaskContext
 
-        at = TaskContext.get().partitionId() << 24
         kind = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
-        held, size = [], 0
-        for b in batches:
-            sizes = np.cumsum([len(x.as_py() or "") for x in b.column("text")])
-            cuts = np.unique(np.searchsorted(sizes, np.arange(block_bytes, (sizes[-1] if len(sizes) else 0) + 1, block_bytes)) + 1)
-            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
-                if z > a:
-                    held.append(b.slice(a, z - a))
-                    size += int(sizes[z - 1] - (sizes[a - 1] if a else 0))
-                if size >= block_bytes:
-                    yield pa.RecordBatch.from_pydict({"block": [at], "payload": [pack_table(pa.Table.from_batches(held))]}, schema=kind)
-                    held, size, at = [], 0, at + 1
-        if held:
+        for at, held in enumerate(sized(batches, block_bytes), TaskContext.get().partitionId() << 24):
             yield pa.RecordBatch.from_pydict({"block": [at], "payload": [pack_table(pa.Table.from_batches(held))]}, schema=kind)
 
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

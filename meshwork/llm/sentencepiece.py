@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding as a relational lattice over the different words of a corpus.
 
-Substrings of each word are exploded and equi-joined to the piece table; the edges found are grouped by word and folded
-with a higher-order aggregate. For a unigram model the fold is Viterbi: the best-scored path to each place. The public
-vocabulary is a BPE model, whose segmentation no sum of scores gives: there the fold takes, among the edges that join
-two neighbouring segments, the best-scored and leftmost one, again and again, which gives the library's own ids."""
+Substrings of each word, as long as the model's longest piece, are exploded and equi-joined to the piece table; the
+edges found are grouped by word and folded with a higher-order aggregate. For a unigram model that is Viterbi's best sum
+of scores. The public vocabulary is a BPE model, whose segmentation no sum of scores gives (the best sum agrees for some
+56 % of the different words). Two folds give the library's own there: Viterbi whose steps are forbidden where merging
+would join across the border (`allowed`: one path is left), and merging over the same edges (`merge`), which the
+registered query takes since it costs half as much."""
 
 from __future__ import annotations
 
@@ -17,10 +19,42 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = "▁"
-#: Longest piece, in code points, and longest word that the fold takes (its places fit in a long); longer ones are rare and merged in Python.
-LONGEST_PIECE, LONGEST_WORD = 16, 62
+#: Code points of the longest word that is folded (its places are the bits of a long); longer ones are merged with a heap, which gives the same ids.
+LONGEST_WORD = 62
 #: Bytes of text of a block, and of the corpus for each range of words, on average.
-BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
+BLOCK_BYTES, RANGE_BYTES = 16 << 20, 4 << 20
+NEVER = 1e30
+
+
+def merge_tree(word: str, score: dict[str, float]) -> list[tuple]:
+    """BPE of a word of any length with a heap: its segments as (text, left part, right part); parts are None for a single code point."""
+    n = len(word)
+    left, right, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
+    node: list[tuple] = [(c, None, None) for c in word]
+    heap: list[tuple] = []
+
+    def push(i: int) -> None:
+        j = right[i]
+        if j < n and (s := score.get(word[i : end[j]])) is not None:
+            heapq.heappush(heap, (-s, i, j, end[j]))
+
+    for i in range(n):
+        push(i)
+    while heap:
+        _, i, j, e = heapq.heappop(heap)
+        if end[i] == j and j < n and end[j] == e and right[i] == j and left[j] == i:
+            node[i] = (word[i:e], node[i], node[j])
+            end[i], right[i], end[j] = e, right[j], -1
+            if right[i] < n:
+                left[right[i]] = i
+            push(i)
+            if left[i] >= 0:
+                push(left[i])
+    out, i = [], 0
+    while i < n:
+        out.append(node[i])
+        i = right[i]
+    return out
 
 
 class Pieces:
@@ -32,16 +66,39 @@ class Pieces:
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         n = p.get_piece_size()
         self.size = n
-        self.kind = "<u2" if n <= 1 << 16 else "<u4"
         self.rows = [(p.id_to_piece(i), i, float(p.get_score(i))) for i in range(n) if not (p.is_control(i) or p.is_byte(i) or p.is_unknown(i))]
+        self.longest = max(len(s) for s, _, _ in self.rows)
         self.bytes_ = {int(p.id_to_piece(i)[3:5], 16): i for i in range(n) if p.is_byte(i)}
         self.unknown = p.unk_id()
         self.pairs = frozenset(s[i : i + 2] for s, _, _ in self.rows for i in range(len(s) - 1))
         #: Marks that no piece has after a letter.
         self.ends = frozenset(".,;:!?%&$#*|") - {b for a, b in self.pairs if a.isalpha()}
+        self.ids = {s: i for s, i, _ in self.rows}
+        self.score = {s: x for s, _, x in self.rows}
+
+    def parts(self, piece: str) -> tuple[list[float], list[float]]:
+        """Of the segments that merging forms at the piece's right and left end: at their length - 1 the cost of the merge that takes them in (NEVER for the piece itself); 0 where there is no segment."""
+        ends = []
+        for side in (2, 1):
+            taken, (node,) = [0.0] * len(piece), merge_tree(piece, self.score)
+            limit = NEVER
+            while node:
+                taken[len(node[0]) - 1] = limit
+                limit, node = -self.score.get(node[0], 0.0), node[side]
+            ends.append(taken)
+        return ends[0], ends[1]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "piece string, id int, score double")
+        """piece, id, cost (minus the score), right and left (see parts)."""
+        return spark.createDataFrame([(p, i, -s, *self.parts(p)) for p, i, s in self.rows], "piece string, id int, cost double, right array<float>, left array<float>")
+
+    def named(self, segments) -> list[int]:
+        """The ids of segments: a piece's own, or those of the bytes."""
+        out: list[int] = []
+        for x in segments:
+            i = self.ids.get(x)
+            out += [i] if i is not None else [self.bytes_[b] for b in x.encode("utf-8", "surrogatepass")] if self.bytes_ else [self.unknown]
+        return out
 
 
 def words_of(text: str | None) -> list[str]:
@@ -69,23 +126,21 @@ def atoms_of(word: str, pieces: Pieces) -> tuple[str, ...]:
     return tuple(word[x:y] for x, y in zip(cuts, cuts[1:]))
 
 
-def edges(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """words with edges: for each word of up to LONGEST_WORD code points the pieces of two code points and more that it
-    contains: cost (minus the score), s, e (from, to), the bits of both borders (ends) and of the places between (inner);
-    best first, then leftmost. Every word keeps a row. Words must be different and partitioned by themselves."""
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
-    n, s, e = F.length("word"), F.col("s"), F.col("e")
-    starts = words.withColumn("s", F.explode(F.when(n.between(2, LONGEST_WORD), F.sequence(F.lit(-1), n - 2)).otherwise(F.array(F.lit(-1)))))  # -1 stands for the word itself
-    spans = starts.withColumn("e", F.explode(F.when(s < 0, F.array(F.lit(0))).otherwise(F.sequence(s + 2, F.least(s + LONGEST_PIECE, n)))))
-    parts = spans.withColumn("piece", F.when(s >= 0, F.substring(F.col("word"), s + 1, e - s)))
-    found = parts.join(F.broadcast(pieces.select("piece", (-F.col("score")).alias("cost"))), "piece", "left").filter("s < 0 OR cost IS NOT NULL")
-    edge = F.when(s >= 0, F.struct("cost", "s", "e", bit(s).bitwiseOR(bit(e)).alias("ends"), (bit(e) - bit(s + 1)).alias("inner")))
-    rest = [c for c in words.columns if c != "word"]
-    return found.groupBy("word").agg(*(F.first(c).alias(c) for c in rest), F.sort_array(F.collect_list(edge)).alias("edges"))
+def edges(words: DataFrame, pieces: DataFrame, least: int, longest: int, fields: list[Column]) -> DataFrame:
+    """range, word, ids, edges: of each word without ids the pieces of least code points and more that it contains (and
+    with least = 1 each single code point, without a cost if it is no piece), as structs of the fields, sorted. Words must
+    be different; each keeps a row."""
+    s, e, n, open_ = F.col("s"), F.col("e"), F.length("word"), F.col("ids").isNull() & (F.length("word") >= least)
+    starts = words.withColumn("s", F.explode(F.when(open_, F.sequence(F.lit(-1), n - least)).otherwise(F.array(F.lit(-1)))))  # -1 stands for the word itself
+    spans = starts.withColumn("e", F.explode(F.when(s < 0, F.array(F.lit(0))).otherwise(F.sequence(s + least, F.least(s + longest, n)))))
+    spans = spans.withColumn("piece", F.when(s >= 0, F.substring(F.col("word"), s + 1, e - s)))
+    found = spans.join(F.broadcast(pieces), "piece", "left").filter("s < 0 OR cost IS NOT NULL" + (" OR e = s + 1" if least == 1 else ""))
+    return found.groupBy("range", "word").agg(F.first("ids").alias("ids"), F.sort_array(F.collect_list(F.when(s >= 0, F.struct(*fields)))).alias("edges"))
 
 
 def merge_fold(edges_: Column, length: Column) -> Column:
-    """BPE: the borders that are left (bits of a long) after merging, from each code point's own segment."""
+    """BPE: the bits of the borders that are left of a word after merging, from each code point's own segment. edges: cost,
+    s, ends (bits of both borders), inner (bits of the places between); best first, then leftmost."""
     fits = lambda m, x: (m.bitwiseAND(x.ends) == x.ends) & (F.bit_count(m.bitwiseAND(x.inner)) == 1)
 
     def step(m: Column, _: Column) -> Column:
@@ -96,169 +151,249 @@ def merge_fold(edges_: Column, length: Column) -> Column:
     return F.when(F.size(edges_) == 0, every).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), every, step))
 
 
-def viterbi_fold(edges_: Column, length: Column, unknown: float = -1e6) -> Column:
-    """Unigram: the borders of the path of the highest summed score; single code points without a piece cost `unknown`."""
-    start = F.array(F.struct(F.lit(0.0).alias("v"), F.lit(-1).alias("back")))
+def _limit(taken: Column, length: Column) -> Column:
+    return F.coalesce(F.get(taken, length - 1), F.lit(0.0))
 
-    def step(best: Column, e: Column) -> Column:
-        into = F.transform(F.filter(edges_, lambda x: x.e == e), lambda x: F.struct((F.element_at(best, x.s + 1).v - x.cost).alias("v"), x.s.cast("int").alias("back")))
-        plain = F.struct((F.element_at(best, e).v + unknown).alias("v"), (e - 1).alias("back"))
-        return F.concat(best, F.array(F.array_max(F.concat(into, F.array(plain)))))
 
-    path = F.aggregate(F.sequence(F.lit(1), length), start, step)
-    back = F.aggregate(F.sequence(F.lit(1), length), F.array(length), lambda a, _: F.when(F.element_at(a, 1) <= 0, a).otherwise(F.concat(F.array(F.element_at(path, F.element_at(a, 1) + 1).back), a)))
-    return F.filter(back, lambda x: x >= 0)
+def _borders(edges_: Column, best: Column, length: Column) -> Column:
+    """The bits of the borders on the path that ends at the last place; best has the number of each place's last edge."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+    end = F.struct(length.alias("at"), bit(length).alias("bits"))
+    back = lambda at: F.get(edges_, F.get(best, at)).s
+    step = lambda a, _: F.when(a["at"] > 0, F.struct(back(a["at"]).alias("at"), a["bits"].bitwiseOR(bit(back(a["at"]))).alias("bits"))).otherwise(a)
+    return F.aggregate(F.sequence(F.lit(1), length), end, step, lambda a: a["bits"])
 
 
-def merge_long(word: str, score: dict[str, float]) -> list[str]:
-    """BPE of a word of any length with a heap: the segments."""
-    n = len(word)
-    left, right, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
-    heap: list[tuple] = []
+def viterbi_fold(edges_: Column, length: Column, missing: float = 1e6) -> Column:
+    """Unigram: the bits of the borders on the path of the lowest summed cost; edges: e, s, cost, ..., in order; those without a cost have `missing`."""
+    start = F.struct(F.array(F.lit(0.0)).alias("v"), F.array(F.lit(-1)).alias("last"))
 
-    def push(i: int) -> None:
-        j = right[i]
-        if j < n and (s := score.get(word[i : end[j]])) is not None:
-            heapq.heappush(heap, (-s, i, j, end[j]))
+    def step(state: Column, i: Column) -> Column:
+        x = F.get(edges_, i)
+        v = F.get(state.v, x.s) + F.coalesce(x.cost, F.lit(missing))
+        put = lambda v, last: F.struct(v.alias("v"), last.alias("last"))
+        known = F.size(state.v) > x.e
+        return F.when(~known, put(F.concat(state.v, F.array(v)), F.concat(state["last"], F.array(i)))).when(v < F.get(state.v, x.e), put(F.concat(F.slice(state.v, F.lit(1), x.e), F.array(v)), F.concat(F.slice(state["last"], F.lit(1), x.e), F.array(i)))).otherwise(state)
 
-    for i in range(n):
-        push(i)
-    while heap:
-        _, i, j, e = heapq.heappop(heap)
-        if end[i] == j and j < n and end[j] == e and right[i] == j and left[j] == i:
-            end[i], right[i], end[j] = e, right[j], -1
-            if right[i] < n:
-                left[right[i]] = i
-            push(i)
-            if left[i] >= 0:
-                push(left[i])
-    out, i = [], 0
-    while i < n:
-        out.append(word[i : end[i]])
-        i = right[i]
-    return out
+    return F.aggregate(F.sequence(F.lit(0), F.size(edges_) - 1), start, step, lambda a: _borders(edges_, a["last"], length))
 
 
-def encoded_words(words: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
-    """words (word and others, each word once and not empty) with the ids, as bytes of pieces.kind; dealt to so many parts."""
-    import pyarrow as pa
+def allowed_fold(edges_: Column, length: Column) -> Column:
+    """BPE by Viterbi: the bits of the borders on the path whose every step is allowed; to each place there is just one.
 
-    n = F.length("word").cast("int")
-    rest = [c for c in words.columns if c != "word"]
-    lattice = edges(words.repartition(parts, "word"), pieces.table(words.sparkSession))
-    borders = lattice.select("word", *rest, F.when(n <= LONGEST_WORD, merge_fold(F.col("edges"), n)).alias("borders"))
-    known, score = {p: i for p, i, _ in pieces.rows}, {p: s for p, _, s in pieces.rows}
-    bytes_, unknown, kind = pieces.bytes_, pieces.unknown, pieces.kind
+    Two pieces stay apart unless some piece spans their border whose parts both sides form on their way, and whose merge
+    comes before either is taken in: on the left strictly (of equal merges the left one is first)."""
 
-    def ids(segments) -> bytes:
-        out: list[int] = []
-        for s in segments:
-            if s in known:
-                out.append(known[s])
-            elif bytes_:
-                out += [bytes_[b] for b in s.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(unknown)
-        return np.array(out, dtype=kind).tobytes()
+    def step(last: Column, i: Column) -> Column:
+        x = F.get(edges_, i)
+        before = F.get(edges_, F.get(last, x.s))
+        joins = F.exists(edges_, lambda m: (m.s < x.s) & (m.e > x.s) & (_limit(x.left, m.e - x.s) >= m.cost) & (_limit(before.right, x.s - m.s) > m.cost))
+        return F.when(F.size(last) > x.e, last).when(x.s == 0, F.concat(last, F.array(i))).when(F.coalesce(joins, F.lit(False)), last).otherwise(F.concat(last, F.array(i)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(edges_) - 1), F.array(F.lit(-1)), step, lambda last: _borders(edges_, last, length))
+
+
+def encoded_words(words: DataFrame, pieces: Pieces, parts: int, fold: str = "merge") -> DataFrame:
+    """range, word, ids of words (word, range, ids; each word once and not empty), dealt to so many parts by range; words
+    that have ids keep them. fold: `merge` or `allowed` for a BPE model (both give the library's ids), `unigram`."""
+    import pyarrow as pa
+
+    dealt, table, n = words.repartition(parts, "range"), pieces.table(words.sparkSession), F.length("word").cast("int")
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+    s, e, cost = F.col("s"), F.col("e"), F.col("cost")
+    if fold == "merge":
+        lattice = edges(dealt, table.select("piece", "cost"), 2, pieces.longest, [cost, s, bit(s).bitwiseOR(bit(e)).alias("ends"), (bit(e) - bit(s + 1)).alias("inner")])
+        borders = merge_fold(F.col("edges"), n)
+    elif fold == "allowed":
+        lattice = edges(dealt, table, 1, pieces.longest, [e, s, cost, F.col("right"), F.col("left")])
+        borders = allowed_fold(F.col("edges"), n)
+    else:
+        lattice = edges(dealt, table.select("piece", "cost"), 1, pieces.longest, [e, s, cost])
+        borders = viterbi_fold(F.col("edges"), n)
 
     def name(batches):
         for b in batches:
             found = []
-            for w, m in zip(b.column("word").to_pylist(), b.column("borders").to_pylist()):
-                if m is None:
-                    found.append(ids(merge_long(w, score)))
-                else:
+            for w, m, ids in zip(*(b.column(c).to_pylist() for c in ("word", "borders", "ids"))):
+                if ids is None:
                     at = [i for i in range(len(w) + 1) if m >> i & 1]
-                    found.append(ids([w[x:y] for x, y in zip(at, at[1:])]))
-            yield pa.RecordBatch.from_arrays([b.column("word"), *(b.column(c) for c in rest), pa.array(found, pa.binary())], names=["word", *rest, "ids"])
+                    ids = pieces.named(w[x:y] for x, y in zip(at, at[1:]))
+                found.append(ids)
+            yield pa.RecordBatch.from_arrays([b.column("range"), b.column("word"), pa.array(found, pa.list_(pa.int32()))], names=["range", "word", "ids"])
 
-    schema = words.select("word", *rest, F.lit(b"").alias("ids")).schema
-    return borders.mapInArrow(name, schema)
+    return lattice.select("range", "word", "ids", F.when(F.col("ids").isNull(), borders).alias("borders")).mapInArrow(name, "range long, word string, ids array<int>")
 
 
-def _packed(lists: list[list]) -> bytes:
-    import pyarrow as pa
+def _pack(array: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(array).tobytes())
+
+
+def _unpack(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+
+
+def _pack_words(words: list[str]) -> bytes:
+    """Words have no space, so one ends each of them."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress("".join([w + " " for w in words]).encode("utf-8", "surrogatepass"))
 
-    return common.pack_table(pa.table({f"c{i}": x for i, x in enumerate(lists)}))
 
+def _unpack_words(data: bytes) -> list[str]:
+    import zstandard
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
+    return zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass").split(" ")[:-1]
+
+
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one after the other."""
+    ends = np.cumsum(lengths)
+    out = np.ones(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+    full = np.flatnonzero(lengths)
+    if len(full):
+        first = ends[full] - lengths[full]
+        out[first] = starts[full]
+        out[first[1:]] -= starts[full[:-1]] + lengths[full[:-1]] - 1
+    return np.cumsum(out)
+
+
+def _numbered(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """How many words each text has, the number of each word, and the different words."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "").cast(pa.large_string())
+    odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.ends_with(texts, " "), pc.equal(texts, "")))
+    parts = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+    counts = np.where(odd.to_numpy(zero_copy_only=False), 0, pc.list_value_length(parts).to_numpy(zero_copy_only=False)).astype(np.int64)
+    enc = parts.flatten().dictionary_encode()
+    words = [SPACE + w for w in enc.dictionary.to_pylist()]
+    ids = enc.indices.to_numpy(zero_copy_only=False).astype(np.uint32)
+    strange = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    if len(strange):
+        keep = np.repeat(~odd.to_numpy(zero_copy_only=False), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        ids = ids[keep]
+        place = {w: i for i, w in enumerate(words)}
+        more, cuts = [], []
+        for i in strange.tolist():
+            found = [place.setdefault(w, len(place)) for w in words_of(texts[i].as_py())]
+            counts[i] = len(found)
+            more.append(np.array(found, dtype=np.uint32))
+            cuts.append(i)
+        starts = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), dtype=np.uint32)
+        is_odd = np.zeros(len(out), dtype=bool)
+        is_odd[_ragged(starts[cuts], counts[cuts])] = True
+        out[is_odd], out[~is_odd] = np.concatenate(more), ids
+        ids, words = out, list(place)
+    return counts, ids, words
+
+
+def encode(docs: DataFrame, model: str, fold: str = "merge") -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of little-endian 32-bit ids), ids of each row, as the library encodes its text.
 
     Null and empty texts have no ids. Special pieces' names in a text are ordinary text; characters without a piece are
     their bytes'. Repeated rows get a row each. Only doc_id and text are read. An empty table gives no rows.
 
-    Documents are packed into blocks and words dealt to ranges; blocks send ranges their different words and get these
-    words' ids back, both as packed lists, so that a word costs a few bytes for each block that has it."""
+    Documents become blocks of word numbers. A block sends each range of words the different parts of its words that no
+    piece joins (a packed list), and gets their ids back in the same order; the lattice sees each of them once."""
     pieces = Pieces(model)
+    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), "text")
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-size // RANGE_BYTES))
-    blocks = common.text_blocks(own, "piece_blocks", BLOCK_BYTES)
+    kind = "<u2" if pieces.size <= 1 << 16 else "<u4"
+    names = ["block", "range", "data"]
 
-    def ask(batches):
+    def read(batches):
+        """A row for each block (range -1) and one for each list of a block's word parts."""
         import pyarrow as pa
-
-        for b in batches:
-            for block, payload in zip(b.column("block").to_pylist(), b.column("payload").to_pylist()):
-                words: set[str] = set()
-                for text in common.unpack_table(payload).column("text"):
-                    words.update(words_of(text.as_py()))
-                dealt: dict[int, list[str]] = {}
-                for x in {x for w in words for x in atoms_of(w, pieces)}:
-                    dealt.setdefault(zlib.crc32(x.encode()) % ranges, []).append(x)
-                yield pa.RecordBatch.from_arrays([pa.array([*dealt], pa.int64()), pa.array([block] * len(dealt), pa.int64()), pa.array([_packed([sorted(x)]) for x in dealt.values()], pa.binary())], names=["range", "block", "words"])
-
-    asked = common.written(blocks.mapInArrow(ask, "range long, block long, words binary"), "block_words")
+        from pyspark import TaskContext
+
+        def rows(held):
+            t = pa.Table.from_batches(held)
+            counts, ids, words = _numbered(t.column("text"))
+            cut = [atoms_of(w, pieces) for w in words]
+            dealt: dict[int, list[str]] = {}
+            for x in {x for c in cut for x in c}:
+                dealt.setdefault(zlib.crc32(x.encode("utf-8", "surrogatepass")) % ranges, []).append(x)
+            lists = [(r, sorted(dealt[r])) for r in sorted(dealt)]
+            place = {x: i for i, x in enumerate(x for _, own_ in lists for x in own_)}
+            parts = [_pack(np.fromiter(map(len, cut), dtype=np.uint16 if max(map(len, cut), default=0) < 65536 else np.uint32, count=len(cut))), _pack(np.array([place[x] for c in cut for x in c], dtype=np.uint32)), _pack(counts), _pack(ids)]
+            body = common.pack_table(pa.table({"doc_id": t.column("doc_id")}))
+            data = pa.table({"ids": pa.array([body], pa.binary()), "wide": pa.array([max(map(len, cut), default=0) >= 65536]), **{f"p{i}": pa.array([x], pa.binary()) for i, x in enumerate(parts)}})
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([-1], pa.int64()), pa.array([common.pack_table(data)], pa.binary())], names=names)
+            if lists:
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(lists), pa.int64()), pa.array([r for r, _ in lists], pa.int64()), pa.array([_pack_words(x) for _, x in lists], pa.binary())], names=names)
+            common.release()
+
+        at = TaskContext.get().partitionId() << 24
+        for held in common.sized(batches, BLOCK_BYTES):
+            yield from rows(held)
+            at += 1
+
+    table = common.bucketed(own.mapInArrow(read, "block long, range long, data binary"), "piece_blocks", "block", int(spark.conf.get("spark.sql.shuffle.partitions")), ["kind"], F.col("range") < 0)
+    blocks, asked = table.filter("kind").select("block", "data"), table.filter("NOT kind").select("block", "range", "data")
 
     def different(t):
         import pyarrow as pa
 
         words: set[str] = set()
-        for x in t.column("words"):
-            words.update(common.unpack_table(x.as_py()).column(0).to_pylist())
-        return pa.table({"word": pa.array(sorted(words), pa.string()), "range": pa.array([t.column("range")[0].as_py()] * len(words), pa.int64())})
+        for x in t.column("data"):
+            words.update(_unpack_words(x.as_py()))
+        words_ = sorted(words)
+        long_ = [pieces.named(x for x, _, _ in merge_tree(w, pieces.score)) if len(w) > LONGEST_WORD else None for w in words_]
+        return pa.table({"word": pa.array(words_, pa.string()), "range": pa.array([t.column("range")[0].as_py()] * len(words), pa.int64()), "ids": pa.array(long_, pa.list_(pa.int32()))})
 
-    words = asked.groupBy("range").applyInArrow(different, "word string, range long")
+    words = asked.groupBy("range").applyInArrow(different, "word string, range long, ids array<int>")
 
     def answer(t, w):
         import pyarrow as pa
 
-        known = dict(zip(w.column("word").to_pylist(), w.column("ids").to_pylist()))
+        found = w.column("ids").combine_chunks() if w.num_rows else pa.array([], pa.list_(pa.int32()))
+        flat, at = found.flatten().to_numpy().astype(kind), np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        place = {x: i for i, x in enumerate(w.column("word").to_pylist())}
         out = []
-        for x in t.column("words"):
-            own_words = common.unpack_table(x.as_py()).column(0).to_pylist()
-            out.append(_packed([own_words, [known[x] for x in own_words]]))
-        return pa.table({"block": t.column("block"), "told": pa.array(out, pa.binary())})
+        for x in t.column("data"):
+            of = np.array([place[y] for y in _unpack_words(x.as_py())], dtype=np.int64)
+            lengths = (at[of + 1] - at[of]).astype(np.uint32)
+            out.append(common.pack_table(pa.table({"n": pa.array([_pack(lengths)], pa.binary()), "ids": pa.array([_pack(flat[_ragged(at[of], lengths.astype(np.int64))])], pa.binary())})))
+        return pa.table({"block": t.column("block"), "range": t.column("range"), "told": pa.array(out, pa.binary())})
 
-    told = asked.groupBy("range").cogroup(encoded_words(words, pieces, 2 * ranges).groupBy("range")).applyInArrow(answer, "block long, told binary")
+    told = asked.groupBy("range").cogroup(encoded_words(words, pieces, ranges, fold).groupBy("range")).applyInArrow(answer, "block long, range long, told binary")
 
     def gather(t, answers):
         import pyarrow as pa
 
-        known: dict[str, bytes] = {}
-        for x in answers.column("told"):
-            a = common.unpack_table(x.as_py())
-            known.update(zip(a.column(0).to_pylist(), a.column(1).to_pylist()))
-        of_word: dict[str, bytes] = {}
-        keys, out = [], []
-        for payload in t.column("payload").to_pylist():
-            part = common.unpack_table(payload)
-            keys += part.column("doc_id").to_pylist()
-            for text in part.column("text"):
-                found = words_of(text.as_py())
-                for w in found:
-                    if w not in of_word:
-                        of_word[w] = b"".join([known[x] for x in atoms_of(w, pieces)])
-                out.append(np.frombuffer(b"".join([of_word[w] for w in found]), dtype=pieces.kind).astype("<u4").tobytes())
-        lengths = [len(x) // 4 for x in out]
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        crc = [zlib.crc32(x) for x in out]
-        del known, of_word
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(out), dtype="<i4"), pa.int32()))
-        del out
+        lengths, flat = [np.empty(0, np.int64)], [np.empty(0, kind)]
+        for x in answers.sort_by("range").column("told").to_pylist():
+            a = common.unpack_table(x)
+            lengths.append(_unpack(a.column("n")[0].as_py(), np.uint32).astype(np.int64))
+            flat.append(_unpack(a.column("ids")[0].as_py(), kind))
+        n_atom, ids_atom = np.concatenate(lengths), np.concatenate(flat)
+        at_atom = np.cumsum(n_atom) - n_atom
+        out = []
+        for payload in t.column("data").to_pylist():
+            p = common.unpack_table(payload)
+            of_word = _unpack(p.column("p0")[0].as_py(), np.uint32 if p.column("wide")[0].as_py() else np.uint16).astype(np.int64)
+            atoms = _unpack(p.column("p1")[0].as_py(), np.uint32)
+            counts, numbers = _unpack(p.column("p2")[0].as_py(), np.int64), _unpack(p.column("p3")[0].as_py(), np.uint32)
+            ids_word = ids_atom[_ragged(at_atom[atoms], n_atom[atoms])]
+            ends = np.concatenate([[0], np.cumsum(n_atom[atoms])])
+            first = np.cumsum(of_word) - of_word
+            at_word, n_word = ends[first], ends[first + of_word] - ends[first]
+            tokens = ids_word[_ragged(at_word[numbers], n_word[numbers])].astype("<i4")
+            last = np.concatenate([[0], np.cumsum(n_word[numbers])])
+            cuts = last[np.concatenate([[0], np.cumsum(counts)])]
+            crc = [zlib.crc32(tokens[a:z]) for a, z in zip(cuts.tolist(), cuts[1:].tolist())]
+            out.append(pa.table({"doc_id": common.unpack_table(p.column("ids")[0].as_py()).column("doc_id"), "n_tokens": pa.array(np.diff(cuts)), "ids_crc32": pa.array(crc, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(tokens))}))
+            del numbers, tokens, ids_word
         common.release()
-        return pa.table({"doc_id": pa.array(keys, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "ids": lists})
+        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids_crc32": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
 
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(gather, "doc_id long, n_tokens long, ids_crc32 long, ids array<int>")
 
@@ -284,7 +419,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encodes every document and decodes the ids again: doc_id, n_tokens, ids_crc32, decoded_sha256."""
+    """Encodes every document and decodes the ids again: doc_id, n_tokens, ids_crc32, decoded_sha256; null texts count as empty."""
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
