@@ -49,6 +49,16 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int, folders: list[str
     return df.sparkSession.table(full)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs as a struct), doc_id (long), text: what an operator works on where docs' own columns are to
+    come back, so that their names can't clash with its own. unboxed() gives them back."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+
+
+def unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
 def sample_rate(rows: int, most: int) -> float:
     return 1.0 if rows <= most else most / rows
 

@@ -14,11 +14,21 @@ from . import common
 CELLS = 1 << 16
 #: At most about so many labelled documents are learned from, chosen by a hash of the id.
 MOST_TRAINED = 20_000
+#: Code points that are scored at once.
+SLICE = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def _cells(text: str) -> tuple[np.ndarray, np.ndarray]:
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def has_letter(text: str | None) -> bool:
+    """Whether a code point is of Unicode's category L; the pattern alone takes letter-like numbers as well."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text or ""))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _cells(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     two = c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA6B)
     three = two[:-1] * np.uint32(0xC2B2AE35) + c[2:] * np.uint32(0x27D4EB2F)
     return two >> np.uint32(16), three >> np.uint32(16)
@@ -34,7 +44,7 @@ def _count(batches):
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
             n = seen.setdefault(lang, np.zeros(CELLS, dtype=np.int64))
             docs[lang] = docs.get(lang, 0) + 1
-            for cells in _cells(text):
+            for cells in _cells(_points(text)):
                 n += np.bincount(cells, minlength=CELLS)
     for lang, n in seen.items():
         yield pa.RecordBatch.from_pydict({"lang": [lang] * 16, "slice": list(range(16)), "docs": [docs[lang]] * 16, "counts": [x.tobytes() for x in n.reshape(16, -1)]}, schema=pa.schema([("lang", pa.string()), ("slice", pa.int32()), ("docs", pa.int64()), ("counts", pa.binary())]))
@@ -53,31 +63,49 @@ class Model:
     def __init__(self, langs: list[str], log_p: np.ndarray, log_prior: np.ndarray):
         self.langs, self.log_p, self.log_prior = langs, log_p, log_prior
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
-            return "und", 0.0
-        s = self.log_prior.copy()
-        for cells in _cells(text):
-            for at in range(0, len(cells), CELLS):
-                s += self.log_p[cells[at : at + CELLS]].sum(axis=0, dtype=np.float64)
-        best = int(s.argmax())
-        return self.langs[best], float(1 / np.exp(s - s[best]).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and posterior of each text of a batch. The batch's n-grams are the columns of one sparse product with the
+        log probabilities: they are looked up slice by slice and summed by text; n-grams across two texts count for none."""
+        known = [i for i, t in enumerate(texts) if self.langs and has_letter(t)]
+        points = [_points(texts[i]) for i in known]
+        sums = np.tile(self.log_prior, (len(known), 1))
+        flat, of = np.concatenate([np.empty(0, np.uint32), *points]), np.repeat(np.arange(len(known)), [len(p) for p in points])
+        for at in range(0, len(flat), SLICE):
+            c, text = flat[at : at + SLICE + 2], of[at : at + SLICE + 2]
+            for size, cells in zip((2, 3), _cells(c)):
+                n = min(len(cells), SLICE)
+                own = text[:n]
+                inside = own == text[size - 1 : size - 1 + n]
+                own, cells = own[inside], cells[:n][inside]
+                if len(own):
+                    starts = np.flatnonzero(np.diff(own, prepend=-1))
+                    sums[own[starts]] += np.add.reduceat(self.log_p[cells], starts, axis=0, dtype=np.float64)
+        out = [("und", 0.0)] * len(texts)
+        for i, s in zip(known, sums):
+            best = int(s.argmax())
+            out[i] = self.langs[best], float(1 / np.exp(s - s[best]).sum())
+        return out
 
 
 def fit(docs: DataFrame, most: int = MOST_TRAINED) -> Model:
-    """Learns from rows with text and lang. Only the summed counts reach the driver: CELLS numbers for each language."""
+    """Learns from rows with text and lang: of each language all, or some most / (number of languages) chosen by a hash of
+    id and text, so that a rare one is learned at any size. Priors are the shares of all rows. Only the summed counts reach
+    the driver: CELLS numbers for each language."""
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rate = common.sample_rate(docs.count(), most)
-    part = docs.filter(common.chosen(F.col("doc_id"), rate)).select("lang", "text")
+    rows_of = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}  # a row for each language, as in the model
+    each = F.lit(0.0)
+    for lang, n in rows_of.items():
+        each = F.when(F.col("lang") == lang, common.sample_rate(n, most // len(rows_of))).otherwise(each)
+    turn = F.pmod(F.xxhash64(F.lit(0x5EED), "doc_id", "text"), F.lit(1 << 30))
+    part = docs.filter(turn < (each * (1 << 30)).cast("long")).select("lang", "text")
     schema = "lang string, slice int, docs long, counts binary"
     rows = part.mapInArrow(_count, schema).groupBy("lang", "slice").applyInArrow(_add, schema).collect()
     langs = sorted({r.lang for r in rows})
     n = np.zeros((CELLS, len(langs)))
-    docs_of = np.ones(len(langs))
+    docs_of = np.array([rows_of[x] for x in langs], dtype=np.float64)
     for r in rows:
         x = np.frombuffer(r["counts"], dtype=np.int64)
         n[r["slice"] * len(x) : (r["slice"] + 1) * len(x), langs.index(r.lang)] = x
-        docs_of[langs.index(r.lang)] = r.docs
     n += 0.5
     return Model(langs, np.log(n / n.sum(axis=0)).astype(np.float32), np.log(docs_of / docs_of.sum()))
 
@@ -94,8 +122,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def score(batches):
         for b in batches:
-            found = [shared.value.predict(x) for x in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*rest, "lang_pred", "score"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                found = shared.value.predict(part.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*rest, "lang_pred", "score"])
 
     return docs.select(*rest, text).mapInArrow(score, schema)
 
@@ -113,12 +143,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs, all columns, without those of no language (`und`) or a posterior below least."""
-    names = docs.columns
-    own = docs.withColumn("__text", F.col("text"))
-    judged = predict(own, fit(docs.select("doc_id", "text", "lang").filter(~held_out("doc_id"))), "__text")
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names)
+    """docs, all columns (of any names), without those of no language (`und`) or a posterior below least."""
+    model = fit(docs.select("doc_id", "text", "lang").filter(~held_out("doc_id")))
+    judged = predict(common.boxed(docs).select("row", "text"), model)
+    return common.unboxed(judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; nulls, texts without a letter, repeated rows and empty tables as in predict and identify."""
     return identify(common.table(spark, sf_dir, "documents"))

@@ -1,8 +1,9 @@
-"""Near copies by word shingles, for corpora in which a pair may share as little as 0.8 of its five-word shingles.
+"""SimHash near-dedup of word shingles, for corpora in which a pair may share as little as 0.8 of its five-word shingles.
 
-At that similarity some ten of a SimHash's 64 bits differ, and no distance table tells such pairs from any others. So
-candidates share one of their rarest shingles (a prefix-filter join), which no pair of that similarity escapes, and the
-shingles that both have are counted."""
+Candidates are found in two ways, and each is verified by counting the shingles that both have. The SimHash operator
+joins fingerprints of the shingle sets by their pivot distance tables, which finds the copies that differ least. But at a
+similarity of 0.8 some ten of the 64 bits differ, and no distance table tells such pairs from any others: so documents
+that share one of their rarest shingles meet as well (a prefix-filter join), which no pair of that similarity escapes."""
 
 from __future__ import annotations
 
@@ -14,53 +15,19 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import links, majority_bits, shingle_hashes
 
-WORDS = 32
-BITS = 64 * WORDS
-_ODD = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Bytes of text of a block, and shingles of a hash range, on average.
 BLOCK_BYTES, RANGE_SHINGLES = 8 << 20, 2 << 20
 
 
-def _carry(a, b, c):
-    x = a ^ b
-    return x ^ c, (a & b) | (x & c)
-
-
-def wide_bits(hashes: np.ndarray) -> bytes:
-    """BITS majority bits over the different hashes; each hash gives 64 bits to each of WORDS parts. Rows are added in fifteens, bit-parallel."""
-    h = np.unique(hashes)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(h), 15_000):
-        part = h[at : at + 15_000]
-        x = part[:, None] * _ODD[None, :]
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        x = np.concatenate([x, np.zeros((-len(x) % 15, WORDS), dtype=np.uint64)])
-        each = [x[i::15] for i in range(15)]
-        planes = []
-        while each:
-            carries = []
-            while len(each) > 1:
-                s, c = _carry(*each[:3])
-                each = [*each[3:], s]
-                carries.append(c)
-            planes.append(each[0])
-            each = carries
-        for k, p in enumerate(planes):
-            ones += np.add.reduce(np.unpackbits(np.ascontiguousarray(p).view(np.uint8), axis=None, bitorder="little").reshape(-1, BITS), axis=0, dtype=np.int64) << k
-    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
-
-
 def _sets(texts, size: int) -> list[np.ndarray]:
     """The different shingle hashes of each text, in order."""
     return [np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass").lower().split(), size)) for t in texts]
 
 
 def _digests(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, digest of the set of shingles."""
+    """doc_id, digest of the set of shingles, fp (the set's SimHash)."""
 
     def make(batches):
         import hashlib
@@ -68,10 +35,11 @@ def _digests(docs: DataFrame, size: int) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            data = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in _sets(b.column("text").to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "digest"])
+            sets = _sets(b.column("text").to_pylist(), size)
+            fp = np.frombuffer(b"".join(map(majority_bits, sets)), dtype=">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(fp)], names=["doc_id", "digest", "fp"])
 
-    return docs.mapInArrow(make, "doc_id long, digest binary")
+    return docs.mapInArrow(make, "doc_id long, digest binary, fp long")
 
 
 def rare_shingles(docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -187,25 +155,35 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def near_links(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """a, b: links that connect what all pairs of a high enough Jaccard similarity would.
+def _simhash_pairs(firsts: DataFrame) -> DataFrame:
+    """a, b: candidates among firsts (first, fp): each with the first of its fingerprint, and the firsts of fingerprints within two bits."""
+    of = common.written(firsts.groupBy("fp").agg(F.min("first").alias("low"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    same = firsts.join(of.filter("n > 1"), "fp").filter("first <> low").select(F.col("first").alias("a"), F.col("low").alias("b"))
+    end = lambda c: of.select(F.col("fp").alias(c), F.col("low").alias(f"doc_{c}"))
+    near = links(of.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    return same.union(near)
+
+
+def near_links(own: DataFrame, size: int, similarity: float) -> DataFrame:
+    """a, b: links between rows of own (doc_id: different and not null, text) that connect what all pairs of a high enough
+    Jaccard similarity would.
 
-    Equal sets are linked to the first of them, which stands for all. Then every document meets, for each of its rare
-    shingles, the most central document that has it; at last those that are not connected yet and share a rare shingle
-    meet each other, unless their sizes or the shingle's places show that they can't be alike enough. So a group of
-    copies costs a pair for each member and shingle, not one for each two members, and no pair is left out."""
-    own = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    Equal sets are linked to the first of them, which stands for all. Then every document meets the neighbours of its
+    fingerprint and, for each of its rare shingles, the most central document that has it; at last those that are not
+    connected yet and share a rare shingle meet each other, unless their sizes or the shingle's places show that they
+    can't be alike enough. So a group of copies costs a pair for each member and shingle, not one for each two members,
+    and no pair is left out."""
     digests = common.written(_digests(own, size), "digests")
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    equal = common.written(digests.join(firsts, "digest").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "equal_links")
-    members = rare_shingles(own, size, similarity).join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    firsts = common.written(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "firsts")
+    equal = common.written(digests.join(firsts.select("digest", "first"), "digest").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "equal_links")
+    members = rare_shingles(own, size, similarity).join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
     members = common.written(members.withColumn("rank", F.struct((F.col("alone") * 1000 / F.col("n")).cast("int").alias("share"), F.xxhash64("doc_id").alias("hash"), "doc_id", "n")), "rare_shingles")
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sized = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
     hubs = members.groupBy("key").agg(F.min("rank").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = common.written(members.drop("rank").join(hubs, "key"), "shared_shingles")
     to_hub = members.filter("doc_id <> hub.doc_id").filter(sized(F.col("n"), F.col("hub.n"))).select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b"))
-    found = common.written(_verified(ordered(to_hub), own, size, similarity), "hub_links").union(equal)
+    found = common.written(_verified(ordered(to_hub.union(_simhash_pairs(firsts))), own, size, similarity), "hub_links").union(equal)
     label = components(found).withColumnRenamed("node", "doc_id")
     open_ = members.join(label, "doc_id", "left").select("key", "doc_id", "n", "place", "short", F.coalesce("component", "doc_id").alias("label"))
     left = open_.filter("short").select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("label").alias("label_a"))
@@ -216,15 +194,40 @@ def near_links(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     return found.union(_verified(ordered(met), own, size, similarity))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """common.boxed(docs) with key: the doc_id where just one row has it; where several have it, or it is null, a hash of it
+    and the text, so that repeated rows have one key."""
+    rows = common.boxed(docs)
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = common.written(ids.filter("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("again")), "repeated_ids")
+    own = F.when(F.col("doc_id").isNotNull() & F.col("again").isNull(), F.col("doc_id")).otherwise(F.xxhash64(F.lit("row"), "doc_id", "text"))
+    return rows.join(repeated, F.col("doc_id") == F.col("again"), "left").withColumn("alone", F.col("doc_id").isNotNull() & F.col("again").isNull()).withColumn("key", own).drop("again")
+
+
+def _groups(rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """key, first (the key of the group's smallest doc_id; rows without one come last), group_id (that doc_id) of the rows that are linked to another."""
+    different = rows.filter("alone").select("key", "doc_id", "text").union(rows.filter("NOT alone").select("key", "doc_id", "text").dropDuplicates(["key"]))
+    reached = common.written(components(near_links(different.select(F.col("key").alias("doc_id"), "text"), size, similarity)), "reached")
+    ids = different.select("key", "doc_id").join(reached.withColumnRenamed("node", "key"), "key")
+    ids = common.written(ids, "linked")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    return ids.join(ids.groupBy("component").agg(least.alias("least")), "component").select("key", F.col("least.key").alias("first"), F.col("least.doc_id").alias("group_id"))
+
+
 def near_copy_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, group_id (the smallest doc_id reachable over links) of the rows that are linked to another.
 
-    Texts without words are linked to each other; a text of fewer words than a shingle is one shingle. Null doc_ids are
-    never linked. An empty table gives no rows."""
-    return components(near_links(docs, size, similarity)).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+    Texts without words are linked to each other; a text of fewer words than a shingle is one shingle. Rows with the same
+    doc_id and text are one row here; those with the same doc_id and other texts, and those without one, are rows of their
+    own. An empty table gives no rows."""
+    rows = _rows(docs)
+    return _groups(rows, size, similarity).join(rows.select("key", "doc_id"), "key").select("doc_id", "group_id").distinct()
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs, all columns, with the smallest doc_id alone of each group; rows without a doc_id stay."""
-    gone = near_copy_groups(docs, size, similarity).filter("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """docs, all columns, with one row of each group: that of the smallest doc_id (rows without one lose to all others; of
+    several rows with it, one). Of repeated rows one stays. Columns may have any name."""
+    rows = _rows(docs)
+    gone = _groups(rows, size, similarity).filter("key <> first").select("key")
+    kept = rows.join(gone, "key", "left_anti")
+    return common.unboxed(kept.filter("alone").select("row").union(kept.filter("NOT alone").dropDuplicates(["key"]).select("row")))

@@ -225,15 +225,18 @@ def encoded_words(words: DataFrame, pieces: Pieces, parts: int, fold: str = "mer
 
 
 def _pack(array: np.ndarray) -> bytes:
+    """zstd over the byte planes."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(array).tobytes())
+    planes = np.ascontiguousarray(array).view(np.uint8).reshape(-1, array.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _pack_words(words: list[str]) -> bytes:
