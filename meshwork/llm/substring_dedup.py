@@ -1,8 +1,10 @@
 """Substring dedup: rolling (Rabin-Karp) hashes of every window of 20 words; repeated windows merge into removal intervals.
 
-Documents are packed into blocks of consecutive doc_ids. Each block sends its different window hashes, sorted and
-compressed, to hash ranges; a range finds the hashes that an earlier block has as well and tells the later blocks. So a
-window costs about six bytes of shuffle however often it is repeated, and no task holds more than a block or a range."""
+Documents are packed into blocks. Each block sends the first bits of its different window hashes, sorted and compressed,
+to hash ranges, where they are counted: most windows are met by no other block and are done. Of the rest each block sends
+128 bits of hash with the window's first place, and is told which of them are the first of the corpus. Answers are one bit
+for each hash sent, in its order. So a window costs two or three bytes of shuffle, a repeated one some twenty for each
+block that has it, however often it is repeated, and no task holds more than a block or a range."""
 
 from __future__ import annotations
 
@@ -18,51 +20,32 @@ from . import common
 
 WINDOW = 20
 #: Bytes of text of a block, and windows of a hash range, on average.
-BLOCK_BYTES, RANGE_WINDOWS = 4 << 20, 2 << 20
-_BASE = 0x9E3779B97F4A7C15
+BLOCK_BYTES, RANGE_WINDOWS = 8 << 20, 2 << 20
+#: Bits sent first beyond those that number the windows: one window in 2^SPARE meets another's bits by chance.
+SPARE = 6
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def window_hashes(words: list[bytes], size: int = WINDOW) -> np.ndarray:
-    """A 64-bit hash of each run of size words: the polynomial of the words' XXH3 hashes modulo 2^64, then mixed."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The two halves of each word's 128-bit XXH3."""
     import xxhash
 
-    n = len(words)
-    if n < size:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=n)
-    out = np.zeros(n - size + 1, dtype=np.uint64)
-    for i in range(size):
-        out *= np.uint64(_BASE)
-        out += h[i : n - size + 1 + i]
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype="<u8").reshape(-1, 2)
+
+
+def window_hashes(h: np.ndarray, half: int, starts: np.ndarray | None = None, size: int = WINDOW) -> np.ndarray:
+    """64 bits for each run of size words (or those at starts): the polynomial of one half of the words' hashes modulo 2^64, then mixed."""
+    n = max(0, len(h) - size + 1) if starts is None else len(starts)
+    out, column = np.zeros(n, dtype=np.uint64), np.ascontiguousarray(h[:, half])
+    for i in range(size if n else 0):
+        out *= np.uint64(_BASES[half])
+        out += column[i : i + n] if starts is None else column[starts + i]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(32)
     return out
 
 
-def _packer(bounds: np.ndarray):
-    def pack(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            ids = b.column("doc_id")
-            block = np.where(ids.is_null().to_numpy(False), len(bounds), np.searchsorted(bounds, ids.fill_null(0).to_numpy(False), side="left"))
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[order])) + 1
-            for part in np.split(order, cuts) if len(order) else ():
-                yield pa.RecordBatch.from_pydict({"block": [int(block[part[0]])], "payload": [common.pack_table(pa.Table.from_batches([b]).take(pa.array(part)))]}, schema=pa.schema([("block", pa.int64()), ("payload", pa.binary())]))
-
-    return pack
-
-
-def _ordered(t):
-    """The rows of a block by doc_id (null last), ties by text."""
-    import pyarrow as pa
-
-    full = pa.concat_tables([common.unpack_table(x) for x in t.column("payload").to_pylist()])
-    return full.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-
-
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
@@ -75,76 +58,154 @@ def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
+def _pack_bits(flags: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.packbits(flags).tobytes())
+
+
+def _unpack_bits(data: bytes, n: int) -> np.ndarray:
+    import zstandard
+
+    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8), count=n).astype(bool)
+
+
+class _Block:
+    """The rows of a block by doc_id (null last), their words' hashes and their windows; made anew wherever it is needed."""
+
+    def __init__(self, payloads: list[bytes], window: int, bits: int, ranges: int):
+        import pyarrow as pa
+
+        rows = pa.concat_tables([common.unpack_table(x) for x in payloads])
+        self.rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.window, self.ranges, self.power = window, ranges, ranges.bit_length() - 1
+        self.cut = np.uint64(bits - self.power)
+        self.words = [_words(x.as_py()) for x in self.rows.column("text")]
+        self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.hashes = np.concatenate([np.empty((0, 2), np.uint64), *(word_hashes(w) for w in self.words)])
+        n = np.maximum(self.lengths - window + 1, 0)
+        self.of = np.repeat(np.arange(len(n)), n)
+        self.start = np.arange(len(self.of)) - np.repeat(np.cumsum(n) - n, n)
+        self.at = (np.cumsum(self.lengths) - self.lengths)[self.of] + self.start
+        every = window_hashes(self.hashes, 0, size=window)
+        self.first = every[self.at] if len(self.at) else np.empty(0, np.uint64)
+        self.key = self.first >> np.uint64(64 - bits)
+        self.keys, self.back, self.times = np.unique(self.key, return_inverse=True, return_counts=True)
+
+    def by_range(self, sorted_keys: np.ndarray) -> list[tuple[int, int, int]]:
+        """range, from, to of sorted keys."""
+        ends = np.searchsorted(sorted_keys >> self.cut, np.arange(self.ranges + 1, dtype=np.uint64))
+        return [(r, a, z) for r, (a, z) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if z > a]
+
+    def told(self, answers, sorted_keys: np.ndarray) -> np.ndarray:
+        """The answers' bits for sorted keys."""
+        own = dict(zip(answers.column("range").to_pylist(), answers.column("bits").to_pylist()))
+        return np.concatenate([np.empty(0, bool), *(_unpack_bits(own[r], z - a) for r, a, z in self.by_range(sorted_keys))])
+
+    def repeated(self, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows whose key is met elsewhere (met) or again here: their places, and their number among the
+        different full hashes; of each full hash the first of these places, and whether its key is met elsewhere."""
+        at = np.flatnonzero((met | (self.times > 1))[self.back])
+        full = np.empty(len(at), dtype=[("a", np.uint64), ("b", np.uint64)])
+        full["a"], full["b"] = self.first[at], window_hashes(self.hashes, 1, self.at[at], self.window)
+        order = np.lexsort((at, full["b"], full["a"]))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = full[order][1:] != full[order][:-1]
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = at[order[new]]
+        self.full = full[order[new]]
+        return at, number, first, met[self.back[first]]
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
     """Removes each word that is covered by a window whose words also start earlier: in a smaller doc_id, or before in
     the same document. doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by a space); with texts, docs'
     own columns instead, where documents that lost words get the kept ones as text (and n_chars, if there is one).
 
-    Null texts have no words. Rows with the same doc_id are ordered by text; null doc_ids come last. Fewer words than a
-    window are never removed. Windows are compared by 64-bit hashes: among n windows about n^2 / 2^65 pairs of different
-    ones are taken for equal. Other columns may have any name. An empty table gives no rows."""
-    own = docs if texts else docs.select("doc_id", "text")
-    size = own.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    blocks = max(1, math.ceil((size["bytes"] or 0) / BLOCK_BYTES))
-    ranges = max(1, math.ceil((size["bytes"] or 0) / (6 * RANGE_WINDOWS)))
-    found = own.agg(F.percentile_approx(F.col("doc_id"), [i / blocks for i in range(1, blocks)], max(10_000, 20 * blocks))).first()[0] if blocks > 1 else None
-    bounds = np.unique(np.array(found or [], dtype=np.int64))  # eight bytes for each BLOCK_BYTES of text
-    packed = common.written(own.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_packer(bounds), "block long, payload binary"), "blocks")
-    step = (1 << 64) // ranges + 1
-
-    def send(t):
+    Null texts have no words. Rows with the same doc_id follow each other in some order; null doc_ids come last. Fewer
+    words than a window are never removed. Windows are equal if 128 bits of hash are: among 10^13 windows two different
+    ones are taken for equal with a chance of some 10^-13. A text's words are in memory at once, some 80 bytes each. Other
+    columns may have any name. An empty table gives no rows."""
+    own = (docs if texts else docs.select("doc_id", "text")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    windows = max(2, size // 6)
+    ranges = 1 << max(0, math.ceil(math.log2(windows / RANGE_WINDOWS)))
+    bits = min(64, max(math.ceil(math.log2(windows)) + SPARE, 16, ranges.bit_length()))
+    blocks = common.text_blocks(own, "repeat_blocks", BLOCK_BYTES)
+    none = np.uint64((1 << (bits - ranges.bit_length() + 1)) - 1)
+    block_of = lambda payloads: _Block(payloads, window, bits, ranges)
+
+    def send(batches):
         import pyarrow as pa
 
-        block, docs_ = t.column("block")[0].as_py(), _ordered(t)
-        every = np.unique(np.concatenate([np.empty(0, np.uint64), *(window_hashes(_words(x.as_py()), window) for x in docs_.column("text"))]))
-        cuts = np.searchsorted(every, np.array([r * step for r in range(1, ranges)], dtype=np.uint64))
-        parts = [(r, x) for r, x in enumerate(np.split(every, cuts)) if len(x)]
+        for t in batches:
+            for block, payload in zip(t.column("block").to_pylist(), t.column("payload").to_pylist()):
+                b = block_of([payload])
+                parts = [(r, common.pack_sorted(b.keys[x:z] & none)) for r, x, z in b.by_range(b.keys)]
+                del b
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["range", "block", "hashes"])
+            common.release()
+
+    def meet(t):
+        import pyarrow as pa
+
+        lists = [common.unpack_sorted(x) for x in t.column("hashes").to_pylist()]
+        _, back, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        met = np.split(times[back] > 1, np.cumsum([len(x) for x in lists])[:-1])
+        del lists, back, times
         common.release()
-        return pa.table({"range": pa.array([r for r, _ in parts], pa.int64()), "block": pa.array([block] * len(parts), pa.int64()), "hashes": pa.array([common.pack_sorted(x) for _, x in parts], pa.binary())})
+        return pa.table({"range": t.column("range"), "block": t.column("block"), "bits": pa.array(map(_pack_bits, met), pa.binary())})
 
-    def repeats(t):
+    def tell(t, answers):
         import pyarrow as pa
 
-        t = t.sort_by("block")
-        lists = [common.unpack_sorted(x.as_py()) for x in t.column("hashes")]
-        of = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-        every = np.concatenate(lists)
-        del lists
-        order = np.argsort(every, kind="stable")
-        every, of = every[order], of[order]
-        again = np.flatnonzero(every[1:] == every[:-1]) + 1
-        hashes, of = every[again], of[again]
-        out, names = [], t.column("block").to_pylist()
-        order = np.argsort(of, kind="stable")
-        hashes, of = hashes[order], of[order]
-        for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1) if len(of) else ():
-            out.append((names[of[part[0]]], common.pack_sorted(hashes[part])))
-        del every, order, hashes, of
+        b = block_of(t.column("payload").to_pylist())
+        _, _, first, elsewhere = b.repeated(b.told(answers, b.keys))
+        ids = b.rows.column("doc_id").fill_null((1 << 63) - 1).to_numpy()
+        first, full = first[elsewhere], b.full[elsewhere]
+        parts = [(r, common.pack_table(pa.table({"a": full["a"][x:z], "b": full["b"][x:z], "doc_id": ids[b.of[first[x:z]]], "row": b.of[first[x:z]].astype(np.int32), "start": b.start[first[x:z]].astype(np.int32)}))) for r, x, z in b.by_range(b.key[first])]
+        block = t.column("block")[0].as_py()
+        del b
         common.release()
-        return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "hashes": pa.array([x for _, x in out], pa.binary())})
+        return pa.table({"range": pa.array([r for r, _ in parts], pa.int64()), "block": pa.array([block] * len(parts), pa.int64()), "windows": pa.array([x for _, x in parts], pa.binary())})
 
-    def remove(t, earlier):
+    def decide(t):
         import pyarrow as pa
 
-        rows = _ordered(t)
-        words = [_words(x.as_py()) for x in rows.column("text")]
-        hashes = [window_hashes(w, window) for w in words]
-        every = np.concatenate([np.empty(0, np.uint64), *hashes])
-        order = np.argsort(every, kind="stable")
-        ordered = every[order]
-        again = np.zeros(len(every), dtype=bool)
-        again[order[1:]] = ordered[1:] == ordered[:-1]
-        known = np.unique(np.concatenate([np.empty(0, np.uint64), *(common.unpack_sorted(x.as_py()) for x in earlier.column("hashes"))]))
-        if len(known):
-            again |= known[np.minimum(np.searchsorted(known, every), len(known) - 1)] == every
-        removed, kept, at = [], [], 0
-        for w, h in zip(words, hashes):
-            starts = np.flatnonzero(again[at : at + len(h)])
-            at += len(h)
+        blocks_ = t.column("block").to_numpy()
+        lists = [common.unpack_table(x) for x in t.column("windows").to_pylist()]
+        n = [len(x) for x in lists]
+        full = pa.concat_tables(lists)
+        a, b, ids, row, start = (full.column(c).to_numpy() for c in ("a", "b", "doc_id", "row", "start"))
+        order = np.lexsort((start, row, np.repeat(blocks_, n), ids, b, a))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        is_first = np.empty(len(order), dtype=bool)
+        is_first[order] = new
+        del lists, full, a, b, ids, row, start, order, new
+        common.release()
+        return pa.table({"range": t.column("range"), "block": t.column("block"), "bits": pa.array(map(_pack_bits, np.split(is_first, np.cumsum(n)[:-1])), pa.binary())})
+
+    def remove(t, answers):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        b = block_of(t.column("payload").to_pylist())
+        at, number, first, elsewhere = b.repeated(b.told(answers.filter(pc.equal(answers.column("turn"), 1)), b.keys))
+        stays = np.ones(len(first), dtype=bool)
+        stays[elsewhere] = b.told(answers.filter(pc.equal(answers.column("turn"), 2)), b.key[first[elsewhere]])
+        again = np.zeros(len(b.of), dtype=bool)
+        again[at] = ~(stays[number] & (first[number] == at))
+        removed, kept = [], []
+        cuts = np.searchsorted(b.of, np.arange(len(b.words) + 1))
+        for w, x, z in zip(b.words, cuts.tolist(), cuts[1:].tolist()):
+            starts = np.flatnonzero(again[x:z])
             gone = covered(starts, len(w), window) if len(starts) else None
             removed.append(0 if gone is None else int(gone.sum()))
             kept.append(w if gone is None else list(itertools.compress(w, ~gone)))
-        del hashes, every, order, ordered, again, known
+        rows, words = b.rows, b.words
+        del b, at, number, first, elsewhere, stays, again
         common.release()
         if not texts:
             return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(map(len, words), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k in kept], pa.string())})
@@ -154,13 +215,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
             changed["n_chars"] = pa.array([len(x) if n else old.as_py() for n, x, old in zip(removed, new, rows.column("n_chars"))], rows.schema.field("n_chars").type)
         return pa.table({c: changed.get(c, rows.column(c)) for c in rows.column_names})
 
-    hashes = packed.groupBy("block").applyInArrow(send, "range long, block long, hashes binary")
-    earlier = hashes.groupBy("range").applyInArrow(repeats, "block long, hashes binary")
-    result = own.withColumn("doc_id", F.col("doc_id").cast("long")).schema if texts else "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return packed.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(remove, result)
+    bits_of = "range long, block long, bits binary"
+    met = common.written(blocks.mapInArrow(send, "range long, block long, hashes binary").groupBy("range").applyInArrow(meet, bits_of), "met_bits")
+    sent = blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(tell, "range long, block long, windows binary")
+    told = met.withColumn("turn", F.lit(1)).union(sent.groupBy("range").applyInArrow(decide, bits_of).withColumn("turn", F.lit(2)))
+    result = own.schema if texts else "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(remove, result)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; nulls, ties, repeated rows and empty tables as in remove_repeats."""
     return remove_repeats(common.table(spark, sf_dir, "documents"))
 
 
