@@ -20,7 +20,7 @@ from . import common
 
 WINDOW = 20
 #: Bytes of text of a block, and windows of a hash range, on average.
-BLOCK_BYTES, RANGE_WINDOWS = 8 << 20, 2 << 20
+BLOCK_BYTES, RANGE_WINDOWS = 4 << 20, 1 << 20
 #: Bits sent first beyond those that number the windows: one window in 2^SPARE meets another's bits by chance.
 SPARE = 6
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -34,12 +34,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, half: int, starts: np.ndarray | None = None, size: int = WINDOW) -> np.ndarray:
-    """64 bits for each run of size words (or those at starts): the polynomial of one half of the words' hashes modulo 2^64, then mixed."""
+    """64 bits for each run of size words (or those at starts), h having one half of each word's hash: their polynomial modulo 2^64, then mixed."""
     n = max(0, len(h) - size + 1) if starts is None else len(starts)
-    out, column = np.zeros(n, dtype=np.uint64), np.ascontiguousarray(h[:, half])
+    out = np.zeros(n, dtype=np.uint64)
     for i in range(size if n else 0):
         out *= np.uint64(_BASES[half])
-        out += column[i : i + n] if starts is None else column[starts + i]
+        out += h[i : i + n] if starts is None else h[starts + i]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(32)
@@ -71,7 +71,7 @@ def _unpack_bits(data: bytes, n: int) -> np.ndarray:
 
 
 class _Block:
-    """The rows of a block by doc_id (null last), their words' hashes and their windows; made anew wherever it is needed."""
+    """The rows of a block by doc_id (null last) and their windows' hashes; made anew wherever it is needed."""
 
     def __init__(self, payloads: list[bytes], window: int, bits: int, ranges: int):
         import pyarrow as pa
@@ -80,17 +80,23 @@ class _Block:
         self.rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.window, self.ranges, self.power = window, ranges, ranges.bit_length() - 1
         self.cut = np.uint64(bits - self.power)
-        self.words = [_words(x.as_py()) for x in self.rows.column("text")]
-        self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.hashes = np.concatenate([np.empty((0, 2), np.uint64), *(word_hashes(w) for w in self.words)])
-        n = np.maximum(self.lengths - window + 1, 0)
-        self.of = np.repeat(np.arange(len(n)), n)
-        self.start = np.arange(len(self.of)) - np.repeat(np.cumsum(n) - n, n)
-        self.at = (np.cumsum(self.lengths) - self.lengths)[self.of] + self.start
-        every = window_hashes(self.hashes, 0, size=window)
-        self.first = every[self.at] if len(self.at) else np.empty(0, np.uint64)
+        first, halves, n = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], []
+        for x in self.rows.column("text"):
+            h = word_hashes(_words(x.as_py()))
+            n.append(len(h))
+            first.append(window_hashes(np.ascontiguousarray(h[:, 0]), 0, size=window))
+            halves.append(np.ascontiguousarray(h[:, 1]))
+        self.lengths, self.n = np.array(n, dtype=np.int64), np.array([len(x) for x in first[1:]], dtype=np.int64)
+        self.first, self.half = np.concatenate(first), np.concatenate(halves)
+        del first, halves
         self.key = self.first >> np.uint64(64 - bits)
-        self.keys, self.back, self.times = np.unique(self.key, return_inverse=True, return_counts=True)
+        self.keys, self.times = np.unique(self.key, return_counts=True)
+
+    def row_and_start(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each window, and the word in it where the window starts."""
+        ends = np.cumsum(self.n)
+        row = np.searchsorted(ends, at, side="right")
+        return row, at - (ends - self.n)[row]
 
     def by_range(self, sorted_keys: np.ndarray) -> list[tuple[int, int, int]]:
         """range, from, to of sorted keys."""
@@ -105,9 +111,12 @@ class _Block:
     def repeated(self, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the windows whose key is met elsewhere (met) or again here: their places, and their number among the
         different full hashes; of each full hash the first of these places, and whether its key is met elsewhere."""
-        at = np.flatnonzero((met | (self.times > 1))[self.back])
+        place = lambda w: np.searchsorted(self.keys, self.key[w])
+        some = self.keys[met | (self.times > 1)]
+        at = np.flatnonzero(some[np.minimum(np.searchsorted(some, self.key), len(some) - 1)] == self.key) if len(some) else np.empty(0, np.int64)
+        row, start = self.row_and_start(at)
         full = np.empty(len(at), dtype=[("a", np.uint64), ("b", np.uint64)])
-        full["a"], full["b"] = self.first[at], window_hashes(self.hashes, 1, self.at[at], self.window)
+        full["a"], full["b"] = self.first[at], window_hashes(self.half, 1, (np.cumsum(self.lengths) - self.lengths)[row] + start, self.window)
         order = np.lexsort((at, full["b"], full["a"]))
         new = np.ones(len(order), dtype=bool)
         new[1:] = full[order][1:] != full[order][:-1]
@@ -115,7 +124,7 @@ class _Block:
         number[order] = np.cumsum(new) - 1
         first = at[order[new]]
         self.full = full[order[new]]
-        return at, number, first, met[self.back[first]]
+        return at, number, first, met[place(first)]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
@@ -125,7 +134,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
 
     Null texts have no words. Rows with the same doc_id follow each other in some order; null doc_ids come last. Fewer
     words than a window are never removed. Windows are equal if 128 bits of hash are: among 10^13 windows two different
-    ones are taken for equal with a chance of some 10^-13. A text's words are in memory at once, some 80 bytes each. Other
+    ones are taken for equal with a chance of some 10^-13. The words of one text are in memory at once, some 100 bytes each. Other
     columns may have any name. An empty table gives no rows."""
     own = (docs if texts else docs.select("doc_id", "text")).withColumn("doc_id", F.col("doc_id").cast("long"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -164,7 +173,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
         _, _, first, elsewhere = b.repeated(b.told(answers, b.keys))
         ids = b.rows.column("doc_id").fill_null((1 << 63) - 1).to_numpy()
         first, full = first[elsewhere], b.full[elsewhere]
-        parts = [(r, common.pack_table(pa.table({"a": full["a"][x:z], "b": full["b"][x:z], "doc_id": ids[b.of[first[x:z]]], "row": b.of[first[x:z]].astype(np.int32), "start": b.start[first[x:z]].astype(np.int32)}))) for r, x, z in b.by_range(b.key[first])]
+        row, start = b.row_and_start(first)
+        parts = [(r, common.pack_table(pa.table({"a": full["a"][x:z], "b": full["b"][x:z], "doc_id": ids[row[x:z]], "row": row[x:z].astype(np.int32), "start": start[x:z].astype(np.int32)}))) for r, x, z in b.by_range(b.key[first])]
         block = t.column("block")[0].as_py()
         del b
         common.release()
@@ -195,24 +205,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
         at, number, first, elsewhere = b.repeated(b.told(answers.filter(pc.equal(answers.column("turn"), 1)), b.keys))
         stays = np.ones(len(first), dtype=bool)
         stays[elsewhere] = b.told(answers.filter(pc.equal(answers.column("turn"), 2)), b.key[first[elsewhere]])
-        again = np.zeros(len(b.of), dtype=bool)
+        again = np.zeros(len(b.first), dtype=bool)
         again[at] = ~(stays[number] & (first[number] == at))
-        removed, kept = [], []
-        cuts = np.searchsorted(b.of, np.arange(len(b.words) + 1))
-        for w, x, z in zip(b.words, cuts.tolist(), cuts[1:].tolist()):
-            starts = np.flatnonzero(again[x:z])
-            gone = covered(starts, len(w), window) if len(starts) else None
-            removed.append(0 if gone is None else int(gone.sum()))
-            kept.append(w if gone is None else list(itertools.compress(w, ~gone)))
-        rows, words = b.rows, b.words
-        del b, at, number, first, elsewhere, stays, again
+        rows, lengths, cuts = b.rows, b.lengths, [0, *np.cumsum(b.n).tolist()]
+        del b, at, number, first, elsewhere, stays
         common.release()
+        removed, result = [], []
+        for old, x, z in zip(rows.column("text"), cuts, cuts[1:]):
+            words, starts = _words(old.as_py()) if not texts or again[x:z].any() else [], np.flatnonzero(again[x:z])
+            gone = covered(starts, len(words), window) if len(starts) else None
+            removed.append(0 if gone is None else int(gone.sum()))
+            kept = b" ".join(words if gone is None else itertools.compress(words, ~gone))
+            result.append((old.as_py() if gone is None else kept.decode("utf-8", "surrogatepass")) if texts else hashlib.sha256(kept).hexdigest())
         if not texts:
-            return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(map(len, words), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k in kept], pa.string())})
-        new = [b" ".join(k).decode("utf-8", "surrogatepass") if n else old.as_py() for n, k, old in zip(removed, kept, rows.column("text"))]
-        changed = {"text": pa.array(new, pa.string())}
+            return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(lengths), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(result, pa.string())})
+        changed = {"text": pa.array(result, pa.string())}
         if "n_chars" in rows.column_names:
-            changed["n_chars"] = pa.array([len(x) if n else old.as_py() for n, x, old in zip(removed, new, rows.column("n_chars"))], rows.schema.field("n_chars").type)
+            changed["n_chars"] = pa.array([len(x) if n else old.as_py() for n, x, old in zip(removed, result, rows.column("n_chars"))], rows.schema.field("n_chars").type)
         return pa.table({c: changed.get(c, rows.column(c)) for c in rows.column_names})
 
     bits_of = "range long, block long, bits binary"
