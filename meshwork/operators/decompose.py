@@ -13,6 +13,13 @@ def linear_partition(x: DataFrame, n: int, parts: int) -> DataFrame:
     return x.select("idx", F.floor(F.col("idx") * parts / n).cast("int").alias("part"))
 
 
+def range_partition(x: DataFrame, rows: int) -> DataFrame:
+    """Parts of some `rows` consecutive indices each, two at least; one row of bounds reaches the driver."""
+    at = x.agg(F.min("idx").alias("lo"), F.max("idx").alias("hi")).first()
+    lo, n = at.lo or 0, (at.hi or 0) - (at.lo or 0) + 1
+    return x.select("idx", F.floor((F.col("idx") - lo) * max(2, n // rows) / n).cast("int").alias("part"))
+
+
 def grid_partition(x: DataFrame, nx: int, ny: int, px: int, py: int) -> DataFrame:
     """Blocks of a grid whose cells are numbered i + nx (j + ny k)."""
     i, j = F.col("idx") % nx, F.floor(F.col("idx") / nx) % ny
@@ -65,8 +72,13 @@ def numbering(partition: DataFrame) -> DataFrame:
 
 
 def owners(x: DataFrame, bounds: DataFrame) -> DataFrame:
-    """The part whose range [first, first + n) has idx; bounds has a row for each part."""
-    return x.join(bounds, (F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("first") + F.col("n"))).select("idx", "part")
+    """The part whose range [first, first + n) has idx. As-of: the bounds' last row at or before idx, found by a join on
+    cells of the index range as wide as the smallest part, of which a part spans few; not by comparing each with each."""
+    width = F.greatest(F.min("n"), F.lit(1))
+    wide = bounds.crossJoin(F.broadcast(bounds.agg(width.alias("width"))))
+    spans = wide.select("part", "first", "n", "width", F.explode(F.sequence(F.floor(F.col("first") / F.col("width")), F.floor((F.col("first") + F.col("n") - 1) / F.col("width")))).alias("cell"))
+    cells = x.crossJoin(F.broadcast(bounds.agg(width.alias("width")))).withColumn("cell", F.floor(F.col("idx") / F.col("width"))).drop("width")
+    return cells.join(spans.drop("width"), "cell").filter((F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("first") + F.col("n"))).select("idx", "part")
 
 
 def ghosts(a: DataFrame, partition: DataFrame) -> DataFrame:

@@ -8,8 +8,11 @@ from pyspark.sql import Window
 from ..operators import algebra as A
 from ..operators import decompose as D
 from ..sources import grids, tables
+from .store import written
 
 PARTS = 8
+#: Parts of the catalogue in a subdomain, on average.
+PART_ROWS = 250
 #: DuckDB's view of the relations of sources.tables and sources.grids.
 CTE = {
     "li": "li AS (SELECT l_orderkey AS row, l_partkey AS col, sum(l_quantity) AS val FROM lineitem GROUP BY ALL)",
@@ -22,7 +25,8 @@ CTE = {
     "lap": """fc AS (SELECT cell AS p, cell + 1 AS q FROM cell WHERE i + 1 < n UNION ALL SELECT cell, cell + n FROM cell WHERE j + 1 < n),
  wall AS (SELECT cell AS p, 0.0 AS u FROM cell WHERE j = 0 UNION ALL SELECT cell, 1.0 FROM cell WHERE j = n - 1),
  a AS (SELECT row, col, sum(val) AS val FROM (SELECT p AS row, q AS col, -1.0::DOUBLE AS val FROM fc UNION ALL SELECT q, p, -1.0 FROM fc UNION ALL SELECT p, p, 1.0 FROM fc UNION ALL SELECT q, q, 1.0 FROM fc UNION ALL SELECT p, p, 2.0 FROM wall) GROUP BY ALL)""",
-    "pt": "pt AS (SELECT cell AS idx, (cell * 8) // (n * n) AS part FROM cell)",
+    "sys": "a AS (SELECT * FROM cop)",
+    "pt": f"pt AS (SELECT p_partkey AS idx, ((p_partkey - lo) * greatest(2, n // {PART_ROWS})) // n AS part FROM part, (SELECT min(p_partkey) AS lo, max(p_partkey) - min(p_partkey) + 1 AS n FROM part))",
     "mem": """ed AS (SELECT row AS src, col AS dst FROM a WHERE row <> col UNION SELECT col, row FROM a WHERE row <> col),
  gh AS (SELECT DISTINCT s.part, e.dst AS idx, d.part AS owner FROM ed e JOIN pt s ON e.src = s.idx JOIN pt d ON e.dst = d.idx WHERE s.part <> d.part),
  mm AS (SELECT part, idx, part AS owner, true AS is_owned FROM pt UNION ALL SELECT part, idx, owner, false FROM gh),
@@ -35,7 +39,8 @@ def _sql(parts: str, body: str) -> str:
 
 
 def _cop(spark, d):
-    return tables.copurchase(spark, d)
+    """Written once, since most queries read it several times."""
+    return written(tables.copurchase(spark, d), "copurchase")
 
 
 def _x(spark, d):
@@ -48,10 +53,9 @@ def _grid(spark, d, name="laplace2d", **more):
 
 
 def _parts(spark, d):
-    """The Laplacian of a grid as large as the customer table, its partition and its overlapping subdomains."""
-    p, n = _grid(spark, d)
-    part = D.linear_partition(p.rhs, n * n, PARTS)
-    return p.matrix, part, n
+    """The co-purchase matrix and a partition of its unknowns, whose number of subdomains follows the rows."""
+    part = D.range_partition(tables.table(spark, d, "part").select(F.col("p_partkey").alias("idx")), PART_ROWS)
+    return _cop(spark, d), part
 
 
 def _rounded(df, *names, digits=6):
@@ -218,14 +222,27 @@ def trade(spark, d):
     return tables.trade(spark, d)
 
 
-@query("s06_laplace2d", _sql("g lap", "SELECT row, col, round(val, 9) AS val FROM a"))
+REACTION = "SELECT c_custkey AS row, c_custkey AS col, abs(c_acctbal) / 1000 AS val FROM customer, side WHERE c_custkey < {0} * n * n"
+
+
+def _reacting(spark, d, matrix, unknowns):
+    """matrix with a reaction term on the diagonal: the balance of the customer of that number, in thousands."""
+    c = tables.table(spark, d, "customer").filter(F.col("c_custkey") < unknowns)
+    return _rounded(A.add_diagonal(matrix, c.select(F.col("c_custkey").alias("idx"), (F.abs("c_acctbal") / 1000).alias("val"))), "val", digits=9)
+
+
+@query("s06_laplace2d", _sql("g lap", f"SELECT row, col, round(sum(val), 9) AS val FROM (SELECT * FROM a UNION ALL {REACTION.format(1)}) GROUP BY ALL"))
 def s06(spark, d):
-    return _rounded(_grid(spark, d)[0].matrix, "val", digits=9)
+    p, n = _grid(spark, d)
+    return _reacting(spark, d, p.matrix, n * n)
 
 
-@query("s06_laplace2d_rhs", _sql("g lap", "SELECT cell AS idx, CASE WHEN j = n - 1 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS val FROM cell"))
+@query("s06_laplace2d_rhs", _sql("g", "SELECT cell AS idx, round(CASE WHEN j = n - 1 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END + coalesce(c_acctbal, 0), 6) AS val FROM cell LEFT JOIN customer ON c_custkey = cell"))
 def s06_rhs(spark, d):
-    return _rounded(_grid(spark, d)[0].rhs, "val", digits=9)
+    """The walls' part and the customers' balances as sources."""
+    source = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_acctbal").alias("source"))
+    rhs = _grid(spark, d)[0].rhs.join(source, "idx", "left")
+    return rhs.select("idx", F.round(F.col("val") + F.coalesce("source", F.lit(0.0)), 6).alias("val"))
 
 
 K_SQL = """CASE WHEN {x} BETWEEN 0.10 AND 0.45 AND {y} BETWEEN 0.12 AND 0.30 THEN 2.0
@@ -242,11 +259,13 @@ def kappa_sql(x: str, y: str) -> str:
     return K_SQL.format(x=x, y=y, s1=_segment_sql(x, y, *e[:4]), s2=_segment_sql(x, y, *e[4:]))
 
 
-@query("s09_kappa", _sql("g", f"SELECT cell, ({kappa_sql('((i + 0.5::DOUBLE) * h)', '((j + 0.5::DOUBLE) * h)')})::DOUBLE AS kappa FROM cell").replace("1.0 / n AS h", "1.0::DOUBLE / n AS h"))
+@query("s09_kappa", _sql("g", f"SELECT cell, round(({kappa_sql('((i + 0.5::DOUBLE) * h)', '((j + 0.5::DOUBLE) * h)')})::DOUBLE * (1 + coalesce(abs(c_acctbal), 0) / 10000), 9) AS kappa FROM cell LEFT JOIN customer ON c_custkey = cell").replace("1.0 / n AS h", "1.0::DOUBLE / n AS h"))
 def s09(spark, d):
     n = tables.grid_side(spark, d, "customer")
     h = 1.0 / n
-    return grids.cells(spark, n, n, 1).select("cell", grids.kappa((F.col("i") + 0.5) * h, (F.col("j") + 0.5) * h).cast("double").alias("kappa"))
+    rich = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("cell"), F.abs("c_acctbal").alias("balance"))
+    kappa = grids.kappa((F.col("i") + 0.5) * h, (F.col("j") + 0.5) * h).cast("double") * (1 + F.coalesce("balance", F.lit(0.0)) / 10000)
+    return grids.cells(spark, n, n, 1).join(rich, "cell", "left").select("cell", F.round(kappa, 9).alias("kappa"))
 
 
 CONV = f"""side AS (SELECT greatest(2, floor(sqrt(count(*) + 1e-6)))::BIGINT AS n FROM customer),
@@ -259,18 +278,20 @@ CONV = f"""side AS (SELECT greatest(2, floor(sqrt(count(*) + 1e-6)))::BIGINT AS
 @query("s07_convdiff2d", f"""WITH {CONV}
 SELECT row, col, round(sum(val), 9) AS val FROM (SELECT p AS row, p AS col, 0.01 * g + greatest(f, 0) AS val FROM fc UNION ALL SELECT p, q, -0.01 * g - greatest(-f, 0) FROM fc
  UNION ALL SELECT q, q, 0.01 * g + greatest(-f, 0) FROM fc UNION ALL SELECT q, p, -0.01 * g - greatest(f, 0) FROM fc
- UNION ALL SELECT cell, cell, 0.01 * k * 2 FROM cell WHERE j = 0 UNION ALL SELECT cell, cell, 0.01 * k * 2 FROM cell WHERE j = n - 1) GROUP BY ALL""")
+ UNION ALL SELECT cell, cell, 0.01 * k * 2 FROM cell WHERE j = 0 UNION ALL SELECT cell, cell, 0.01 * k * 2 FROM cell WHERE j = n - 1 UNION ALL {REACTION.format(1)}) GROUP BY ALL""")
 def s07(spark, d):
-    return _rounded(_grid(spark, d, "convdiff2d", nu=0.01)[0].matrix, "val", digits=9)
+    p, n = _grid(spark, d, "convdiff2d", nu=0.01)
+    return _reacting(spark, d, p.matrix, n * n)
 
 
 @query("s08_coupled2d", f"""WITH {CONV}, c AS (SELECT unnest([0, 1, 2]) AS c)
 SELECT row, col, round(sum(val), 9) AS val FROM (SELECT 3 * p + c AS row, 3 * p + c AS col, 0.1 * (1 + c) * g + greatest(f, 0) AS val FROM fc, c UNION ALL SELECT 3 * p + c, 3 * q + c, -0.1 * (1 + c) * g - greatest(-f, 0) FROM fc, c
  UNION ALL SELECT 3 * q + c, 3 * q + c, 0.1 * (1 + c) * g + greatest(-f, 0) FROM fc, c UNION ALL SELECT 3 * q + c, 3 * p + c, -0.1 * (1 + c) * g - greatest(f, 0) FROM fc, c
  UNION ALL SELECT 3 * cell + c, 3 * cell + c, 0.1 * (1 + c) * k * 2 FROM cell, c WHERE j = 0 UNION ALL SELECT 3 * cell + c, 3 * cell + c, 0.1 * (1 + c) * k * 2 FROM cell, c WHERE j = n - 1
- UNION ALL SELECT 3 * cell + c, 3 * cell + c, 0.1 FROM cell, c UNION ALL SELECT 3 * cell + c, 3 * cell + (c + 1) % 3, -0.1 FROM cell, c) GROUP BY ALL""")
+ UNION ALL SELECT 3 * cell + c, 3 * cell + c, 0.1 FROM cell, c UNION ALL SELECT 3 * cell + c, 3 * cell + (c + 1) % 3, -0.1 FROM cell, c UNION ALL {REACTION.format(3)}) GROUP BY ALL""")
 def s08(spark, d):
-    return _rounded(_grid(spark, d, "coupled2d", nu=0.1, ncomp=3)[0].matrix, "val", digits=9)
+    p, n = _grid(spark, d, "coupled2d", nu=0.1, ncomp=3)
+    return _reacting(spark, d, p.matrix, 3 * n * n)
 
 
 @query("s07_convdiff3d")
@@ -295,44 +316,44 @@ def d01(spark, d):
     return D.level_partition(_cop(spark, d), _x(spark, d), PARTS)
 
 
-@query("a09_part_offsets", _sql("g pt", "SELECT part::INTEGER AS part, count(*) AS n, (sum(count(*)) OVER (ORDER BY part) - count(*))::BIGINT AS first FROM pt GROUP BY part"))
+@query("a09_part_offsets", _sql("pt", "SELECT part::INTEGER AS part, count(*) AS n, (sum(count(*)) OVER (ORDER BY part) - count(*))::BIGINT AS first FROM pt GROUP BY part"))
 def a09(spark, d):
     return D.offsets(_parts(spark, d)[1])
 
 
-@query("j07_owner", _sql("g pt", "SELECT idx, part::INTEGER AS part FROM pt"))
+@query("j07_owner", _sql("pt", "SELECT idx, part::INTEGER AS part FROM pt"))
 def j07(spark, d):
     part = _parts(spark, d)[1]
     return D.owners(part.select("idx"), D.offsets(part))
 
 
-@query("d02_edge_cut", _sql("g lap pt", ", e AS (SELECT row, col FROM a WHERE row < col) SELECT count(*) AS cut FROM e JOIN pt p ON row = p.idx JOIN pt q ON col = q.idx WHERE p.part <> q.part"))
+@query("d02_edge_cut", _sql("cop sys pt", ", e AS (SELECT row, col FROM a WHERE row < col) SELECT count(*) AS cut FROM e JOIN pt p ON row = p.idx JOIN pt q ON col = q.idx WHERE p.part <> q.part"))
 def d02(spark, d):
-    a, part, _ = _parts(spark, d)
+    a, part = _parts(spark, d)
     return D.edge_cut(a, part)
 
 
-@query("d04_membership", _sql("g lap pt mem", "SELECT part::INTEGER AS part, idx, owner::INTEGER AS owner, is_owned, local_idx, is_owned::INT::DOUBLE AS pou FROM mem"))
+@query("d04_membership", _sql("cop sys pt mem", "SELECT part::INTEGER AS part, idx, owner::INTEGER AS owner, is_owned, local_idx, is_owned::INT::DOUBLE AS pou FROM mem"))
 def d04(spark, d):
-    a, part, _ = _parts(spark, d)
+    a, part = _parts(spark, d)
     return D.membership(a, part).withColumn("local_idx", F.col("local_idx").cast("long"))
 
 
-@query("d08_multiplicity_unity", _sql("g lap pt mem", "SELECT part::INTEGER AS part, idx, round(pou, 9) AS pou FROM mem"))
+@query("d08_multiplicity_unity", _sql("cop sys pt mem", "SELECT part::INTEGER AS part, idx, round(pou, 9) AS pou FROM mem"))
 def d08(spark, d):
-    a, part, _ = _parts(spark, d)
+    a, part = _parts(spark, d)
     return _rounded(D.membership(a, part, "multiplicity").select("part", "idx", "pou"), "pou", digits=9)
 
 
-@query("w03_ghost_blocks", _sql("g lap pt mem", "SELECT part::INTEGER AS part, owner::INTEGER AS neighbour, min(local_idx) AS start, count(*) AS n FROM mem WHERE NOT is_owned GROUP BY ALL"))
+@query("w03_ghost_blocks", _sql("cop sys pt mem", "SELECT part::INTEGER AS part, owner::INTEGER AS neighbour, min(local_idx) AS start, count(*) AS n FROM mem WHERE NOT is_owned GROUP BY ALL"))
 def w03(spark, d):
-    a, part, _ = _parts(spark, d)
+    a, part = _parts(spark, d)
     return D.ghost_blocks(D.membership(a, part)).withColumn("start", F.col("start").cast("long"))
 
 
-@query("d05_local_matrices", _sql("g lap pt mem", "SELECT r.part::INTEGER AS part, r.local_idx AS lrow, c.local_idx AS lcol, row, col, round(val, 9) AS val FROM a JOIN mem r ON row = r.idx JOIN mem c ON col = c.idx AND c.part = r.part"))
+@query("d05_local_matrices", _sql("cop sys pt mem", "SELECT r.part::INTEGER AS part, r.local_idx AS lrow, c.local_idx AS lcol, row, col, round(val, 9) AS val FROM a JOIN mem r ON row = r.idx JOIN mem c ON col = c.idx AND c.part = r.part"))
 def d05(spark, d):
-    a, part, _ = _parts(spark, d)
+    a, part = _parts(spark, d)
     out = D.local_matrices(a, D.membership(a, part))
     return _rounded(out.withColumns({c: F.col(c).cast("long") for c in ("lrow", "lcol")}), "val", digits=9)
 
@@ -340,41 +361,41 @@ def d05(spark, d):
 LUMP = "lump AS (SELECT m.part, m.idx, coalesce(sum(abs(a.val)) FILTER (i.idx IS NULL), 0) AS s FROM mem m JOIN a ON a.row = m.idx LEFT JOIN mem i ON i.part = m.part AND i.idx = a.col WHERE NOT m.is_owned GROUP BY ALL)"
 
 
-@query("d06_lumping", _sql("g lap pt mem", f", {LUMP} SELECT part::INTEGER AS part, idx, round(s, 9) AS s FROM lump"))
+@query("d06_lumping", _sql("cop sys pt mem", f", {LUMP} SELECT part::INTEGER AS part, idx, round(s, 9) AS s FROM lump"))
 def d06(spark, d):
-    a, part, _ = _parts(spark, d)
+    a, part = _parts(spark, d)
     return _rounded(D.lumping(a, D.membership(a, part)), "s", digits=9)
 
 
-@query("d09_lumped_matrices", _sql("g lap pt mem", f", {LUMP}, l AS (SELECT r.part, row, col, val FROM a JOIN mem r ON row = r.idx JOIN mem c ON col = c.idx AND c.part = r.part) SELECT part::INTEGER AS part, row, col, round(sum(val), 9) AS val FROM (SELECT * FROM l UNION ALL SELECT part, idx, idx, -s FROM lump) GROUP BY ALL"))
+@query("d09_lumped_matrices", _sql("cop sys pt mem", f", {LUMP}, l AS (SELECT r.part, row, col, val FROM a JOIN mem r ON row = r.idx JOIN mem c ON col = c.idx AND c.part = r.part) SELECT part::INTEGER AS part, row, col, round(sum(val), 9) AS val FROM (SELECT * FROM l UNION ALL SELECT part, idx, idx, -s FROM lump) GROUP BY ALL"))
 def d09(spark, d):
-    a, part, _ = _parts(spark, d)
+    a, part = _parts(spark, d)
     return _rounded(D.lumped_matrices(a, D.membership(a, part)), "val", digits=9)
 
 
-@query("d10_weighted_matrices", _sql("g lap pt mem", "SELECT r.part::INTEGER AS part, row, col, round(r.pou * val * c.pou, 9) AS val FROM a JOIN mem r ON row = r.idx JOIN mem c ON col = c.idx AND c.part = r.part"))
+@query("d10_weighted_matrices", _sql("cop sys pt mem", "SELECT r.part::INTEGER AS part, row, col, round(r.pou * val * c.pou, 9) AS val FROM a JOIN mem r ON row = r.idx JOIN mem c ON col = c.idx AND c.part = r.part"))
 def d10(spark, d):
-    a, part, _ = _parts(spark, d)
+    a, part = _parts(spark, d)
     return _rounded(D.weighted_matrices(a, D.membership(a, part, "multiplicity")), "val", digits=9)
 
 
-@query("a11_subdomain_sizes", _sql("g lap pt mem", "SELECT m.part::INTEGER AS part, count(*) FILTER (is_owned) AS n_own, count(*) FILTER (NOT is_owned) AS n_ghost, count(DISTINCT owner) FILTER (NOT is_owned) AS n_neighbours, (SELECT count(*) FROM a JOIN mem r ON a.row = r.idx JOIN mem c ON a.col = c.idx AND c.part = r.part WHERE r.part = m.part) AS nnz FROM mem m GROUP BY m.part"))
+@query("a11_subdomain_sizes", _sql("cop sys pt mem", "SELECT m.part::INTEGER AS part, count(*) FILTER (is_owned) AS n_own, count(*) FILTER (NOT is_owned) AS n_ghost, count(DISTINCT owner) FILTER (NOT is_owned) AS n_neighbours, (SELECT count(*) FROM a JOIN mem r ON a.row = r.idx JOIN mem c ON a.col = c.idx AND c.part = r.part WHERE r.part = m.part) AS nnz FROM mem m GROUP BY m.part"))
 def a11(spark, d):
-    a, part, _ = _parts(spark, d)
+    a, part = _parts(spark, d)
     return D.sizes(a, D.membership(a, part))
 
 
-@query("j05_extend_add", _sql("g lap pt mem", "SELECT idx, round(sum(pou * (1 + idx % 7)), 9) AS val FROM mem GROUP BY idx"))
+@query("j05_extend_add", _sql("cop sys pt mem", "SELECT idx, round(sum(pou * (1 + idx % 7)), 9) AS val FROM mem GROUP BY idx"))
 def j05(spark, d):
-    a, part, _ = _parts(spark, d)
+    a, part = _parts(spark, d)
     members = D.membership(a, part, "multiplicity")
     local = D.restrict(tables.known_solution(part), members).join(members.select("part", "idx", "pou"), ["part", "idx"])
     return _rounded(D.extend_add(local.withColumn("val", F.col("val") * F.col("pou"))), "val", digits=9)
 
 
-@query("j09_semi_anti", _sql("g lap pt mem", "SELECT m.part::INTEGER AS part, count(*) FILTER (i.idx IS NOT NULL) AS inside, count(*) FILTER (i.idx IS NULL) AS outside FROM mem m JOIN a ON a.row = m.idx LEFT JOIN mem i ON i.part = m.part AND i.idx = a.col GROUP BY m.part"))
+@query("j09_semi_anti", _sql("cop sys pt mem", "SELECT m.part::INTEGER AS part, count(*) FILTER (i.idx IS NOT NULL) AS inside, count(*) FILTER (i.idx IS NULL) AS outside FROM mem m JOIN a ON a.row = m.idx LEFT JOIN mem i ON i.part = m.part AND i.idx = a.col GROUP BY m.part"))
 def j09(spark, d):
-    a, part, _ = _parts(spark, d)
+    a, part = _parts(spark, d)
     members = D.membership(a, part)
     rows = a.join(members.select("part", F.col("idx").alias("row")), "row")
     here = members.select("part", F.col("idx").alias("col"))

@@ -33,7 +33,11 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
 
 def read_timers(spark: SparkSession, path: str) -> DataFrame:
     """run, timer, min, avg, max from the table at the end of each log: the lines after its last heading `phase min avg max`."""
-    lines = _numbered(spark, path)
+    return parse_timers(_numbered(spark, path))
+
+
+def parse_timers(lines: DataFrame) -> DataFrame:
+    """As read_timers, from run, at (the line's place), value."""
     heading = F.col("value").rlike(r"^\s*\S.*\bmin\b.*\bavg\b.*\bmax\b")
     by = Window.partitionBy("run")
     marked = lines.withColumn("start", F.max(F.when(heading, F.col("at"))).over(by))
@@ -52,10 +56,14 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
     """run, key, setting from KEY='value' and KEY=value words."""
-    text = spark.read.text(path, wholetext=True)
+    return parse_settings(spark.read.text(path, wholetext=True).select(run_name().alias("run"), "value"))
+
+
+def parse_settings(text: DataFrame, run: str = "run") -> DataFrame:
+    """As read_settings, from run (of any name) and value, the whole text."""
     pairs = F.regexp_extract_all("value", F.lit(r"([A-Za-z_]\w*)=('[^']*'|\"[^\"]*\"|\S*)"), F.lit(0))
-    one = text.select(run_name().alias("run"), F.explode(pairs).alias("pair"))
-    return one.select("run", F.regexp_extract("pair", r"^(\w+)=", 1).alias("key"), F.regexp_replace(F.regexp_replace("pair", r"^\w+=", ""), r"^['\"]|['\"]$", "").alias("setting"))
+    one = text.select(run, F.explode(pairs).alias("pair"))
+    return one.select(run, F.regexp_extract("pair", r"^(\w+)=", 1).alias("key"), F.regexp_replace(F.regexp_replace("pair", r"^\w+=", ""), r"^['\"]|['\"]$", "").alias("setting"))
 
 
 def read_variants(spark: SparkSession, path: str) -> DataFrame:
@@ -68,9 +76,13 @@ def read_variants(spark: SparkSession, path: str) -> DataFrame:
 
 def read_facts(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
     """run and one number for each pattern's first group in the whole log; null where it doesn't occur."""
-    text = spark.read.text(path, wholetext=True)
+    return parse_facts(spark.read.text(path, wholetext=True).select(run_name().alias("run"), "value"), patterns)
+
+
+def parse_facts(text: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """As read_facts, from run and value, the whole text."""
     fact = lambda p: F.regexp_extract("value", p, 1).try_cast("double")
-    return text.select(run_name().alias("run"), *(fact(p).alias(n) for n, p in patterns.items()))
+    return text.select("run", *(fact(p).alias(n) for n, p in patterns.items()))
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -78,9 +90,14 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("k int, rel_res double").option("sep", " ").csv(path)
 
 
+def history_lines(rows: DataFrame) -> DataFrame:
+    """value: the lines of a history (k, v) with ten digits."""
+    return rows.select(F.concat_ws(" ", F.col("k").cast("string"), F.format_string("%.10e", "v")).alias("value"))
+
+
 def write_history(history: list[float], spark: SparkSession, path: str) -> None:
     rows = spark.createDataFrame([(k, float(v)) for k, v in enumerate(history)], "k int, v double")
-    rows.coalesce(1).select(F.concat_ws(" ", "k", F.format_string("%.10e", "v"))).write.text(path)
+    history_lines(rows.coalesce(1)).write.text(path)
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

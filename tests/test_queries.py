@@ -4,11 +4,11 @@ import os
 import duckdb
 import pytest
 
-from meshwork.plans import matrix_queries, report_queries, solver_queries
+from meshwork.plans import campaign_queries, format_queries, matrix_queries, report_queries, solver_queries
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"l10_multigrid_local_solves", "m03_additive_multiplicity", "r02_bicgstab_convdiff"}
-CASES = [(n, m.Q[n], m.S[n]) for m in (matrix_queries, report_queries, solver_queries) for n in m.S if n not in SLOW]
+CASES = [(n, m.Q[n], m.S[n]) for m in (matrix_queries, report_queries, campaign_queries, format_queries, solver_queries) for n in m.S if n not in SLOW]
 
 
 @pytest.fixture(scope="session")
