@@ -68,13 +68,20 @@ def chosen(key: Column, rate: float) -> Column:
     return F.pmod(F.xxhash64(F.lit(0x5EED), key), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
 
 
-def release() -> None:
-    """Gives freed memory of a Python worker back, since workers go on to other tasks beside the JVM."""
+#: What a Python worker remembers between tasks, by operator.
+held: dict[str, object] = {}
+
+
+def release(keep: str | None = None) -> None:
+    """Gives freed memory of a Python worker back, since workers go on to other tasks beside the JVM, and drops what other
+    operators (all but keep) remember in it."""
     import ctypes
     import gc
 
     import pyarrow as pa
 
+    for name in [x for x in held if x != keep]:
+        del held[name]
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

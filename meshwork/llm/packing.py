@@ -51,7 +51,7 @@ class Ids:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.path, self.tokenizer, self.known = path, Tokenizer.from_file(path), {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
@@ -90,14 +90,11 @@ class Ids:
         return [b"".join([known[w] for w in d]) for d in docs]
 
 
-_ids: dict[str, Ids] = {}
-
-
 def ids_of(path: str) -> Ids:
-    """One for each worker process, which goes on over its tasks."""
-    if path not in _ids:
-        _ids[path] = Ids(path)
-    return _ids[path]
+    """One for each worker process, which goes on over this operator's tasks."""
+    if getattr(common.held.get("packing"), "path", None) != path:
+        common.held["packing"] = Ids(path)
+    return common.held["packing"]
 
 
 def pieces(docs: DataFrame, tokenizer: str, groups: int, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -120,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer: str, groups: int, length: int = LENGTH, e
                     n = len(data) // 4
                     rows += [(k, s, min(length, n - s), zlib.crc32(data[4 * s : 4 * (s + length)]), n, g) for s in range(0, n, length)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "group"])
-        common.release()
+        common.release("packing")
 
     group = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id"), F.length("text")), F.lit(groups))
     return docs.select(F.col("doc_id").cast("long"), "text", group.alias("group")).mapInArrow(cut, PIECES)
@@ -149,6 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, group: int = GROUP) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; nulls, very long texts, repeated rows and empty tables as in pack."""
     import public_tokenizers
 
     return pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -116,4 +116,5 @@ def near_groups(docs: DataFrame, size: int = 3) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; nulls, ties, repeated rows and empty tables as in near_groups."""
     return near_groups(common.table(spark, sf_dir, "documents"))

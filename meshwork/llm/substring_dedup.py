@@ -76,6 +76,7 @@ class _Block:
     def __init__(self, payloads: list[bytes], window: int, bits: int, ranges: int):
         import pyarrow as pa
 
+        common.release()
         rows = pa.concat_tables([common.unpack_table(x) for x in payloads])
         self.rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.window, self.ranges, self.power = window, ranges, ranges.bit_length() - 1
@@ -90,7 +91,9 @@ class _Block:
         self.first, self.half = np.concatenate(first), np.concatenate(halves)
         del first, halves
         self.key = self.first >> np.uint64(64 - bits)
-        self.keys, self.times = np.unique(self.key, return_counts=True)
+        ordered = np.sort(self.key)
+        ends = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True)) if len(ordered) else np.empty(0, np.int64)
+        self.keys, self.times = ordered[ends], np.diff(ends, prepend=-1)
 
     def row_and_start(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The row of each window, and the word in it where the window starts."""
@@ -149,8 +152,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
         import pyarrow as pa
 
         for t in batches:
-            for block, payload in zip(t.column("block").to_pylist(), t.column("payload").to_pylist()):
-                b = block_of([payload])
+            for i in range(t.num_rows):
+                block, b = t.column("block")[i].as_py(), block_of([t.column("payload")[i].as_py()])
                 parts = [(r, common.pack_sorted(b.keys[x:z] & none)) for r, x, z in b.by_range(b.keys)]
                 del b
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["range", "block", "hashes"])
