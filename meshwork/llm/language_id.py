@@ -38,6 +38,7 @@ def _count(batches):
     """Counts of each language in this task, in 16 slices."""
     import pyarrow as pa
 
+    common.release()
     seen: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
     for b in batches:
@@ -111,16 +112,18 @@ def fit(docs: DataFrame, most: int = MOST_TRAINED) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (posterior of the predicted language, 0 for `und`) in place of text.
+    """docs with lang_pred and score (posterior of the predicted language, 0 for `und`) in place of text;
+    docs' own columns of these two names are left out.
 
     `und` for null or empty texts, texts without a letter, and whenever nothing was learned."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     schema = docs.select(*rest, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def score(batches):
+        common.release()
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)

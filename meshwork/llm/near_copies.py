@@ -18,7 +18,7 @@ from .components import components
 from .simhash import links, majority_bits, shingle_hashes
 
 #: Bytes of text of a block, and shingles of a hash range, on average.
-BLOCK_BYTES, RANGE_SHINGLES = 8 << 20, 2 << 20
+BLOCK_BYTES, RANGE_SHINGLES = 4 << 20, 1 << 20
 
 
 def _sets(texts, size: int) -> list[np.ndarray]:
@@ -26,6 +26,12 @@ def _sets(texts, size: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass").lower().split(), size)) for t in texts]
 
 
+def _slices(batches, rows: int = 512):
+    """Arrow batches of at most so many rows, whose sets are in memory at once."""
+    for b in batches:
+        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+
+
 def _digests(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, digest of the set of shingles, fp (the set's SimHash)."""
 
@@ -34,7 +40,8 @@ def _digests(docs: DataFrame, size: int) -> DataFrame:
 
         import pyarrow as pa
 
-        for b in batches:
+        common.release()
+        for b in _slices(batches):
             sets = _sets(b.column("text").to_pylist(), size)
             fp = np.frombuffer(b"".join(map(majority_bits, sets)), dtype=">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(fp)], names=["doc_id", "digest", "fp"])
@@ -65,7 +72,9 @@ def rare_shingles(docs: DataFrame, size: int, similarity: float) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for block, payload in zip(b.column("block").to_pylist(), b.column("payload").to_pylist()):
+            for i in range(b.num_rows):
+                common.release()
+                block, payload = b.column("block")[i].as_py(), b.column("payload")[i].as_py()
                 every = np.concatenate([np.empty(0, np.uint64), *_sets(common.unpack_table(payload).column("text").to_pylist(), size)])
                 every, times = np.unique(every >> cut, return_counts=True)
                 at = np.searchsorted(every, np.arange(1, 1 << power, dtype=np.uint64) << np.uint64(32))
@@ -94,6 +103,7 @@ def rare_shingles(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     def choose(t, met):
         import pyarrow as pa
 
+        common.release()
         met = met.sort_by("range")
         known = np.concatenate([np.empty(0, np.uint64), *((np.uint64(r) << np.uint64(32)) | unpack(x).astype(np.uint64) for r, x in zip(met.column("range").to_pylist(), met.column("hashes").to_pylist()))])
         often = np.concatenate([np.empty(0, np.uint32), *(unpack(x) for x in met.column("times").to_pylist())])
@@ -131,13 +141,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -
     def make(batches):
         import pyarrow as pa
 
-        for b in batches:
+        common.release()
+        for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in _sets(b.column("text").to_pylist(), size)], pa.binary())], names=["doc_id", "shingles"])
 
     def verify(batches):
         import pyarrow as pa
 
-        for t in batches:
+        common.release()
+        for t in _slices(batches):
             sure, held = [], (None, None)
             for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist()):
                 if held[0] != x:

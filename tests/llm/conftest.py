@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Extra columns have names that operators use inside.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block long, key string, n long, digest string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block long, key string, n long, digest string, score double, lang_pred string"
 
 
 def awkward_rows() -> list[tuple]:
@@ -19,8 +19,8 @@ def awkward_rows() -> list[tuple]:
         texts.append(" ".join(own) + ("." if i % 2 else ".\nMore of it, and " + word()))
     texts += [" ".join([word() for _ in range(15)] + base[30:75] + [word() for _ in range(9)]) for _ in range(5)]
     texts += ["loop " * 60, "a\u3000b 日本語 𐍈𐍈 <|endoftext|> it's 1st", "tail\r\nends\x0bhere\x0c"]
-    rows = [(i * 3 % 101, t, rnd.choice(["en", "de", None]), f"s{i % 3}", len(t or ""), 1, "k", 2, "d") for i, t in enumerate(texts)]
-    rows += [rows[4], rows[9], (None, "one two", None, None, None, None, None, None, None), (None, None, "en", None, None, None, None, None, None)]
+    rows = [(i * 3 % 101, t, rnd.choice(["en", "de", None]), f"s{i % 3}", len(t or ""), 1, "k", 2, "d", 0.5, "x") for i, t in enumerate(texts)]
+    rows += [rows[4], rows[9], (None, "one two", *[None] * 9), (None, None, "en", *[None] * 8)]
     return rows
 
 

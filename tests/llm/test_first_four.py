@@ -42,6 +42,38 @@ def test_digest_index_persists(spark, awkward):
     assert len(digests) == len(set(digests)) == len({r.text_sha256 for r in second})
 
 
+def test_a_batch_given_again_gets_the_same_answer(spark):
+    index = exact_dedup.DigestIndex(spark, "digests_given_again")
+    one = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    first = sorted(map(tuple, index.dedup(one, batch="one").collect()))
+    assert sorted(map(tuple, index.dedup(one, batch="one").collect())) == first and sum(r[3] for r in first) == 2
+    two = spark.createDataFrame([(4, "b"), (5, "c")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in index.dedup(two, batch="two").collect()) == [(4, 3, False), (5, 5, True)]
+    assert sorted(map(tuple, index.compact("digests_compacted").entries().collect())) == sorted(map(tuple, index.entries().collect()))
+
+
+def test_language_as_brute_force(spark, documents):
+    """Counts, priors and posteriors of every text by plain loops over its n-grams."""
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.limit(60).collect()]
+    docs = spark.createDataFrame([*rows, (900, "½ ² ③", "en"), (901, "Ⅷ", "en"), (902, None, "en"), (903, "1 2", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    known = [(t, lang) for _, t, lang in rows if t is not None and lang is not None] + [("½ ² ③", "en"), ("Ⅷ", "en")]
+    counts = {lang: np.zeros(language_id.CELLS) for lang in model.langs}
+    cells = lambda t: [int(x) for part in language_id._cells(language_id._points(t)) for x in part]
+    for t, lang in known:
+        for x in cells(t):
+            counts[lang][x] += 1
+    prior = {lang: sum(k == lang for _, k in known) / len(known) for lang in counts}
+    for r in language_id.predict(docs.select("doc_id", "text"), model).collect():
+        text = docs.filter(docs.doc_id == r.doc_id).first().text if r.doc_id >= 900 else dict((i, t) for i, t, _ in rows)[r.doc_id]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        s = {lang: np.log(prior[lang]) + sum(np.log((n[x] + 0.5) / (n.sum() + 0.5 * len(n))) for x in cells(text)) for lang, n in counts.items()}
+        best = max(s, key=s.get)
+        assert r.lang_pred == best and r.score == pytest.approx(1 / sum(np.exp(v - s[best]) for v in s.values()), abs=1e-3)
+
+
 def test_packing_round_trip(awkward, nothing, documents):
     tokenizer = Tokenizer.from_file(PATH)
     assert packing.pack(nothing, PATH).collect() == []
