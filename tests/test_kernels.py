@@ -61,6 +61,9 @@ def test_selection_of_complex_pairs():
     assert kernels.selected(values, vectors, 4, 0.9).shape[1] == 3
     assert kernels.selected(values, vectors, 1, 0.9).shape[1] == 2
     assert kernels.selected(values, vectors, 4, 0.45).shape[1] == 2
+    swapped = kernels.selected(values[[1, 0, 2, 3]], vectors[:, [1, 0, 2, 3]], 4, 0.9)
+    assert np.array_equal(swapped, kernels.selected(values, vectors, 4, 0.9))  # the member below the axis met first
+    assert kernels.selected(values[[1, 0, 2, 3]], vectors[:, [1, 0, 2, 3]], 1, 0.9).shape[1] == 2
 
 
 def test_reuse_policy_by_hand():
