@@ -9,7 +9,6 @@ from . import common
 
 #: (verdict, host and path prefix), as the contract of op10 has them.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-LEVELS = ("host", "domain", "suffix")
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
