@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from meshwork.operators import kernels
-from meshwork.plans.schwarz import Config
+from meshwork.plans.schwarz import Config, _inverted
 from meshwork.plans.sequence import ReusePolicy, lower_median, per_decade
 from meshwork.sources import grids
 from meshwork.sources.matrix_market import step_file
@@ -117,3 +117,11 @@ def test_bubbles_rise_and_wrap():
     assert {round(b[1] % 1, 6) for b in still} == {round(b[1] % 1, 6) for b in later}  # 32 steps of half a cell: one round
     with pytest.raises(ValueError):
         grids._parse("other2d")
+
+
+def test_coarse_matrix_is_inverted_or_replaced():
+    inverse, sure = _inverted(np.array([[2.0, 1.0], [1.0, 3.0]]))
+    assert sure and np.allclose(inverse, [[0.6, -0.2], [-0.2, 0.4]])
+    inverse, sure = _inverted(np.ones((2, 2)))
+    assert not sure and np.allclose(inverse, 0.25)
+    assert _inverted(np.zeros((0, 0)))[1]
