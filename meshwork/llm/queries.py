@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, language_id, lm_score, packing, quality, sentencepiece, simhash, substring_dedup, url_filter
+from . import exact_dedup, fingerprint, language_id, lm_score, packing, quality, sentencepiece, simhash, substring_dedup, url_filter, whitening
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
 }
 SQL = {
     "op6_substring_dedup": substring_dedup.OP6_SQL,
