@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but these: space and \t \n \v \f \r, as in Python's bytes.split().
 BLANK = r"[\x20\x09-\x0D]+"
+#: Terms are runs of anything but these: ASCII that is no digit or lower-case letter.
+NO_TERM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -23,6 +25,15 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def terms(text: Column) -> Column:
+    """The terms of a text in order, A-Z in lower case; none for null."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NO_TERM, -1), "")
+
+
+#: terms() of the column text in DuckDB.
+TERMS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (tests) a new local one."""
     set_ = spark.conf.get("spark.checkpoint.dir", None)

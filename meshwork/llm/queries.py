@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, language_id, lm_score, packing, quality, sentencepiece, simhash, substring_dedup, url_filter, whitening
+from . import decontamination, exact_dedup, fingerprint, language_id, lm_score, packing, quality, resampling, sentencepiece, simhash, substring_dedup, url_filter, whitening
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
@@ -16,9 +16,13 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_benchmark_decontamination": decontamination.op12_benchmark_decontamination,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 SQL = {
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op12_benchmark_decontamination": decontamination.OP12_SQL,
+    "op13_importance_resampling": resampling.OP13_SQL,
 }
