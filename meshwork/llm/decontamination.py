@@ -84,14 +84,14 @@ def covered(found: DataFrame) -> DataFrame:
     return ends.select("text_key", new.alias("new")).groupBy("text_key").agg(F.sum("new").alias("n_hit"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle: int = SHINGLE, most_shingles: int = MOST_SHINGLES, most_tokens: int = MOST_TOKENS) -> DataFrame:
-    """row (all columns of docs as a struct), n_words, n_hit, items (ids of the items with windows in the text, sorted as
+def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, size: int = WINDOW, shingle: int = SHINGLE, most_shingles: int = MOST_SHINGLES, most_tokens: int = MOST_TOKENS) -> DataFrame:
+    """row (the columns keep of docs as a struct, all unless given: they go through the last join), n_words, n_hit, items (ids of the items with windows in the text, sorted as
     strings), contaminated for every document.
 
     Null and empty texts have no words and no hits. Repeated rows get a row each and equal texts equal results, whatever
     their doc_ids. Items of equal ids count as one item; windows of items without an id hit words, but there is no id to
     list. An empty benchmark hits nothing; an empty table gives no rows. Extra columns come back in row."""
-    keyed = docs.select(F.struct("*").alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"), common.terms(F.col("text")).alias("words"))
+    keyed = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"), common.terms(F.col("text")).alias("words"))
     of_items = common.written(windows(items, size), "item_windows")
     found = common.written(hits(keyed.select("text_key", "words"), of_items, size, shingle, most_shingles, most_tokens), "window_hits")
     pairs = of_items.filter("item_id IS NOT NULL")
@@ -108,7 +108,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for every document, null doc_ids and repeated rows too; items in order, as one digest."""
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = contamination(docs.select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
+    marked = contamination(docs, common.table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return marked.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
