@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def linear_partition(x: DataFrame, n: int, parts: int) -> DataFrame:
     """part = floor(idx * parts / n)."""
@@ -20,6 +22,12 @@ def range_partition(x: DataFrame, rows: int) -> DataFrame:
     return x.select("idx", F.floor((F.col("idx") - lo) * max(2, n // rows) / n).cast("int").alias("part"))
 
 
+def ordered_partition(x: DataFrame, parts: int) -> DataFrame:
+    """Stretches of nearly equal size along the order of x's other columns, then of idx: place * parts / n."""
+    keys = [F.asc(c) for c in x.columns if c != "idx"]
+    return scan.placed(x, *keys, "idx").select("idx", F.floor(F.col("place") * parts / F.lit(x.count())).cast("int").alias("part"))
+
+
 def grid_partition(x: DataFrame, nx: int, ny: int, px: int, py: int) -> DataFrame:
     """Blocks of a grid whose cells are numbered i + nx (j + ny k)."""
     i, j = F.col("idx") % nx, F.floor(F.col("idx") / nx) % ny
@@ -50,35 +58,30 @@ def level_partition(a: DataFrame, x: DataFrame, parts: int, name: str = "levels"
             break
         seen = seen.union(front)
     ranked = x.select("idx").join(seen, "idx", "left").withColumn("level", F.coalesce("level", F.lit(level)))
-    sizes = ranked.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("level", (F.sum("n").over(Window.orderBy("level")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    place = F.row_number().over(Window.partitionBy("level").orderBy("idx")) - 1
-    return ranked.withColumn("place", place).join(before, "level").select("idx", F.floor((F.col("before") + F.col("place")) * parts / F.col("total")).cast("int").alias("part"))
+    return scan.placed(ranked, "level", "idx").select("idx", F.floor(F.col("place") * parts / F.lit(x.count())).cast("int").alias("part"))
 
 
 def offsets(partition: DataFrame) -> DataFrame:
     """part, n, first: sizes and exclusive sums of the parts (one row for each part). An empty part raises an error."""
     sizes = partition.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    by = Window.orderBy("part")
-    full = F.row_number().over(by) - 1 == F.col("part")
-    n = F.when(full, F.col("n")).otherwise(F.raise_error(F.lit("a part is empty")).cast("long"))
-    return sizes.select("part", n.alias("n"), F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("first"))
+    at = scan.placed(sizes, "part", weight="n", name="first")
+    full = sizes.agg((F.coalesce(F.max("part") + 1, F.lit(0)) == F.count(F.lit(1))).alias("full"))  # one row
+    n = F.when(F.col("full"), F.col("n")).otherwise(F.raise_error(F.lit("a part is empty")).cast("long"))
+    return at.crossJoin(F.broadcast(full)).select("part", n.alias("n"), "first")
 
 
 def numbering(partition: DataFrame) -> DataFrame:
     """New numbers: part after part, the old order within a part."""
-    place = F.row_number().over(Window.partitionBy("part").orderBy("idx")) - 1
-    return partition.withColumn("place", place).join(offsets(partition), "part").select(F.col("idx").alias("old_idx"), (F.col("first") + F.col("place")).alias("new_idx"), "part")
+    return scan.placed(partition, "part", "idx", name="new_idx").select(F.col("idx").alias("old_idx"), "new_idx", "part")
 
 
 def owners(x: DataFrame, bounds: DataFrame) -> DataFrame:
-    """The part whose range [first, first + n) has idx. As-of: the bounds' last row at or before idx, found by a join on
-    cells of the index range as wide as the smallest part, of which a part spans few; not by comparing each with each."""
-    width = F.greatest(F.min("n"), F.lit(1))
-    wide = bounds.crossJoin(F.broadcast(bounds.agg(width.alias("width"))))
-    spans = wide.select("part", "first", "n", "width", F.explode(F.sequence(F.floor(F.col("first") / F.col("width")), F.floor((F.col("first") + F.col("n") - 1) / F.col("width")))).alias("cell"))
-    cells = x.crossJoin(F.broadcast(bounds.agg(width.alias("width")))).withColumn("cell", F.floor(F.col("idx") / F.col("width"))).drop("width")
-    return cells.join(spans.drop("width"), "cell").filter((F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("first") + F.col("n"))).select("idx", "part")
+    """The part whose range [first, first + n) has idx, for indices in any of them: as of the last bound at or before idx.
+    Bounds and indices are scanned in one order, so that rows neither multiply nor meet, however unequal the parts are."""
+    owner = F.struct("part", (F.col("first") + F.col("n")).alias("end"))
+    starts = bounds.filter("n > 0").select(F.col("first").cast("long").alias("idx"), F.lit(0).alias("kind"), owner.alias("owner"))
+    both = starts.unionByName(x.select(F.col("idx").cast("long").alias("idx"), F.lit(1).alias("kind")), allowMissingColumns=True)
+    return scan.last_known(both, "owner", "idx", "kind").filter("kind = 1 AND idx < owner.end").select("idx", "owner.part")
 
 
 def ghosts(a: DataFrame, partition: DataFrame) -> DataFrame:
@@ -120,9 +123,15 @@ def lumping(a: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def lumped_matrices(a: DataFrame, members: DataFrame) -> DataFrame:
-    """The local matrices with s taken off the ghosts' diagonal (inserted where it is missing): part, row, col, val."""
-    down = lumping(a, members).select("part", F.col("idx").alias("row"), F.col("idx").alias("col"), (-F.col("s")).alias("val"))
-    return local_matrices(a, members).select("part", "row", "col", "val").unionByName(down).groupBy("part", "row", "col").agg(F.sum("val").alias("val"))
+    """The local matrices with s taken off the ghosts' diagonal (inserted where it is missing): part, row, col, val. One
+    join of the rows with the columns gives both: what stays outside goes to the diagonal with its absolute value."""
+    rows = members.select("part", F.col("idx").alias("row"))
+    inside = members.select("part", F.col("idx").alias("col"), F.lit(True).alias("inside"))
+    met = a.join(rows, "row").join(inside, ["part", "col"], "left")
+    here = F.coalesce("inside", F.lit(False))
+    entries = met.select("part", "row", F.when(here, F.col("col")).otherwise(F.col("row")).alias("col"), F.when(here, F.col("val")).otherwise(-F.abs("val")).alias("val"))
+    diagonal = members.filter("NOT is_owned").select("part", F.col("idx").alias("row"), F.col("idx").alias("col"), F.lit(0.0).alias("val"))
+    return entries.unionByName(diagonal).groupBy("part", "row", "col").agg(F.sum("val").alias("val"))
 
 
 def weighted_matrices(a: DataFrame, members: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import Window
 
 from ..operators import algebra as A
 from ..operators import decompose as D
+from ..operators import distributed as M
+from ..operators import partition as P
 from ..sources import grids, tables
 from .store import written
 
 PARTS = 8
-#: Parts of the catalogue in a subdomain, on average.
+#: Orders in a subdomain, on average.
 PART_ROWS = 250
 #: DuckDB's view of the relations of sources.tables and sources.grids.
 CTE = {
@@ -25,8 +27,12 @@ CTE = {
     "lap": """fc AS (SELECT cell AS p, cell + 1 AS q FROM cell WHERE i + 1 < n UNION ALL SELECT cell, cell + n FROM cell WHERE j + 1 < n),
  wall AS (SELECT cell AS p, 0.0 AS u FROM cell WHERE j = 0 UNION ALL SELECT cell, 1.0 FROM cell WHERE j = n - 1),
  a AS (SELECT row, col, sum(val) AS val FROM (SELECT p AS row, q AS col, -1.0::DOUBLE AS val FROM fc UNION ALL SELECT q, p, -1.0 FROM fc UNION ALL SELECT p, p, 1.0 FROM fc UNION ALL SELECT q, q, 1.0 FROM fc UNION ALL SELECT p, p, 2.0 FROM wall) GROUP BY ALL)""",
-    "sys": "a AS (SELECT * FROM cop)",
-    "pt": f"pt AS (SELECT p_partkey AS idx, ((p_partkey - lo) * greatest(2, n // {PART_ROWS})) // n AS part FROM part, (SELECT min(p_partkey) AS lo, max(p_partkey) - min(p_partkey) + 1 AS n FROM part))",
+    "sys": """ch AS (SELECT o_orderkey AS p, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS q FROM orders),
+ fo AS (SELECT c_custkey, c_nationkey, min(o_orderkey) AS k FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+ sp AS (SELECT k AS p, lag(k) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS q FROM fo),
+ lk AS (SELECT * FROM ch WHERE q IS NOT NULL UNION ALL SELECT * FROM sp WHERE q IS NOT NULL),
+ a AS (SELECT row, col, sum(val) AS val FROM (SELECT p AS row, q AS col, -1.0::DOUBLE AS val FROM lk UNION ALL SELECT q, p, -1.0 FROM lk UNION ALL SELECT p, p, 1.0 FROM lk UNION ALL SELECT q, q, 1.0 FROM lk UNION ALL SELECT o_orderkey, o_orderkey, 1.0 FROM orders) GROUP BY ALL)""",
+    "pt": f"pt AS (SELECT o_orderkey AS idx, ((row_number() OVER (ORDER BY c_nationkey NULLS FIRST, o_custkey, o_orderkey) - 1) * greatest(2, n // {PART_ROWS})) // n AS part FROM orders LEFT JOIN customer ON o_custkey = c_custkey, (SELECT count(*) AS n FROM orders))",
     "mem": """ed AS (SELECT row AS src, col AS dst FROM a WHERE row <> col UNION SELECT col, row FROM a WHERE row <> col),
  gh AS (SELECT DISTINCT s.part, e.dst AS idx, d.part AS owner FROM ed e JOIN pt s ON e.src = s.idx JOIN pt d ON e.dst = d.idx WHERE s.part <> d.part),
  mm AS (SELECT part, idx, part AS owner, true AS is_owned FROM pt UNION ALL SELECT part, idx, owner, false FROM gh),
@@ -52,10 +58,44 @@ def _grid(spark, d, name="laplace2d", **more):
     return grids.generate(spark, name, grids.GridOptions(nx=n, ny=n, **more)), n
 
 
+def _chain(spark, d):
+    return written(tables.order_chain(spark, d), "chain")
+
+
+def _part_count(spark, d) -> int:
+    return max(2, tables.table(spark, d, "orders").count() // PART_ROWS)
+
+
+def _order(spark, d):
+    """The partition that follows the chain of orders, which the number of subdomains follows."""
+    return written(D.ordered_partition(tables.chain_order(spark, d), _part_count(spark, d)), "partition")
+
+
 def _parts(spark, d):
-    """The co-purchase matrix and a partition of its unknowns, whose number of subdomains follows the rows."""
-    part = D.range_partition(tables.table(spark, d, "part").select(F.col("p_partkey").alias("idx")), PART_ROWS)
-    return _cop(spark, d), part
+    """The chain of orders and a partition of its unknowns along it."""
+    return _chain(spark, d), _order(spark, d)
+
+
+def _members(spark, d, unity="boolean"):
+    """The matrix and its overlapping subdomains, each a table, since plans read them several times."""
+    a, part = _parts(spark, d)
+    return a, written(D.membership(a, part, unity), "members")
+
+
+def _graph_parts(spark, d):
+    """The chain and the partition found from its graph alone, once for each application and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in FOUND:
+        a = _chain(spark, d)
+        FOUND[key] = a, written(P.graph_partition(a, _orders(spark, d), _part_count(spark, d)), "graph_partition")
+    return FOUND[key]
+
+
+FOUND: dict = {}
+
+
+def _orders(spark, d):
+    return tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"))
 
 
 def _rounded(df, *names, digits=6):
@@ -318,85 +358,77 @@ def d01(spark, d):
 
 @query("a09_part_offsets", _sql("pt", "SELECT part::INTEGER AS part, count(*) AS n, (sum(count(*)) OVER (ORDER BY part) - count(*))::BIGINT AS first FROM pt GROUP BY part"))
 def a09(spark, d):
-    return D.offsets(_parts(spark, d)[1])
+    return D.offsets(_order(spark, d))
 
 
 @query("j07_owner", _sql("pt", "SELECT idx, part::INTEGER AS part FROM pt"))
 def j07(spark, d):
-    part = _parts(spark, d)[1]
-    return D.owners(part.select("idx"), D.offsets(part))
+    """Each order's part as of the bounds of the new numbers; back to the old ones."""
+    part = _order(spark, d)
+    nb = D.numbering(part)
+    return D.owners(nb.select(F.col("new_idx").alias("idx")), D.offsets(part)).join(nb.select(F.col("old_idx"), F.col("new_idx").alias("idx")), "idx").select(F.col("old_idx").alias("idx"), "part")
 
 
-@query("d02_edge_cut", _sql("cop sys pt", ", e AS (SELECT row, col FROM a WHERE row < col) SELECT count(*) AS cut FROM e JOIN pt p ON row = p.idx JOIN pt q ON col = q.idx WHERE p.part <> q.part"))
+@query("d02_edge_cut", _sql("sys pt", ", e AS (SELECT row, col FROM a WHERE row < col) SELECT count(*) AS cut FROM e JOIN pt p ON row = p.idx JOIN pt q ON col = q.idx WHERE p.part <> q.part"))
 def d02(spark, d):
     a, part = _parts(spark, d)
     return D.edge_cut(a, part)
 
 
-@query("d04_membership", _sql("cop sys pt mem", "SELECT part::INTEGER AS part, idx, owner::INTEGER AS owner, is_owned, local_idx, is_owned::INT::DOUBLE AS pou FROM mem"))
+@query("d04_membership", _sql("sys pt mem", "SELECT part::INTEGER AS part, idx, owner::INTEGER AS owner, is_owned, local_idx, is_owned::INT::DOUBLE AS pou FROM mem"))
 def d04(spark, d):
-    a, part = _parts(spark, d)
-    return D.membership(a, part).withColumn("local_idx", F.col("local_idx").cast("long"))
+    return _members(spark, d)[1].withColumn("local_idx", F.col("local_idx").cast("long"))
 
 
-@query("d08_multiplicity_unity", _sql("cop sys pt mem", "SELECT part::INTEGER AS part, idx, round(pou, 9) AS pou FROM mem"))
+@query("d08_multiplicity_unity", _sql("sys pt mem", "SELECT part::INTEGER AS part, idx, round(pou, 9) AS pou FROM mem"))
 def d08(spark, d):
-    a, part = _parts(spark, d)
-    return _rounded(D.membership(a, part, "multiplicity").select("part", "idx", "pou"), "pou", digits=9)
+    return _rounded(_members(spark, d, "multiplicity")[1].select("part", "idx", "pou"), "pou", digits=9)
 
 
-@query("w03_ghost_blocks", _sql("cop sys pt mem", "SELECT part::INTEGER AS part, owner::INTEGER AS neighbour, min(local_idx) AS start, count(*) AS n FROM mem WHERE NOT is_owned GROUP BY ALL"))
+@query("w03_ghost_blocks", _sql("sys pt mem", "SELECT part::INTEGER AS part, owner::INTEGER AS neighbour, min(local_idx) AS start, count(*) AS n FROM mem WHERE NOT is_owned GROUP BY ALL"))
 def w03(spark, d):
-    a, part = _parts(spark, d)
-    return D.ghost_blocks(D.membership(a, part)).withColumn("start", F.col("start").cast("long"))
+    return D.ghost_blocks(_members(spark, d)[1]).withColumn("start", F.col("start").cast("long"))
 
 
-@query("d05_local_matrices", _sql("cop sys pt mem", "SELECT r.part::INTEGER AS part, r.local_idx AS lrow, c.local_idx AS lcol, row, col, round(val, 9) AS val FROM a JOIN mem r ON row = r.idx JOIN mem c ON col = c.idx AND c.part = r.part"))
+@query("d05_local_matrices", _sql("sys pt mem", "SELECT r.part::INTEGER AS part, r.local_idx AS lrow, c.local_idx AS lcol, row, col, round(val, 9) AS val FROM a JOIN mem r ON row = r.idx JOIN mem c ON col = c.idx AND c.part = r.part"))
 def d05(spark, d):
-    a, part = _parts(spark, d)
-    out = D.local_matrices(a, D.membership(a, part))
+    out = D.local_matrices(*_members(spark, d))
     return _rounded(out.withColumns({c: F.col(c).cast("long") for c in ("lrow", "lcol")}), "val", digits=9)
 
 
 LUMP = "lump AS (SELECT m.part, m.idx, coalesce(sum(abs(a.val)) FILTER (i.idx IS NULL), 0) AS s FROM mem m JOIN a ON a.row = m.idx LEFT JOIN mem i ON i.part = m.part AND i.idx = a.col WHERE NOT m.is_owned GROUP BY ALL)"
 
 
-@query("d06_lumping", _sql("cop sys pt mem", f", {LUMP} SELECT part::INTEGER AS part, idx, round(s, 9) AS s FROM lump"))
+@query("d06_lumping", _sql("sys pt mem", f", {LUMP} SELECT part::INTEGER AS part, idx, round(s, 9) AS s FROM lump"))
 def d06(spark, d):
-    a, part = _parts(spark, d)
-    return _rounded(D.lumping(a, D.membership(a, part)), "s", digits=9)
+    return _rounded(D.lumping(*_members(spark, d)), "s", digits=9)
 
 
-@query("d09_lumped_matrices", _sql("cop sys pt mem", f", {LUMP}, l AS (SELECT r.part, row, col, val FROM a JOIN mem r ON row = r.idx JOIN mem c ON col = c.idx AND c.part = r.part) SELECT part::INTEGER AS part, row, col, round(sum(val), 9) AS val FROM (SELECT * FROM l UNION ALL SELECT part, idx, idx, -s FROM lump) GROUP BY ALL"))
+@query("d09_lumped_matrices", _sql("sys pt mem", f", {LUMP}, l AS (SELECT r.part, row, col, val FROM a JOIN mem r ON row = r.idx JOIN mem c ON col = c.idx AND c.part = r.part) SELECT part::INTEGER AS part, row, col, round(sum(val), 9) AS val FROM (SELECT * FROM l UNION ALL SELECT part, idx, idx, -s FROM lump) GROUP BY ALL"))
 def d09(spark, d):
-    a, part = _parts(spark, d)
-    return _rounded(D.lumped_matrices(a, D.membership(a, part)), "val", digits=9)
+    return _rounded(D.lumped_matrices(*_members(spark, d)), "val", digits=9)
 
 
-@query("d10_weighted_matrices", _sql("cop sys pt mem", "SELECT r.part::INTEGER AS part, row, col, round(r.pou * val * c.pou, 9) AS val FROM a JOIN mem r ON row = r.idx JOIN mem c ON col = c.idx AND c.part = r.part"))
+@query("d10_weighted_matrices", _sql("sys pt mem", "SELECT r.part::INTEGER AS part, row, col, round(r.pou * val * c.pou, 9) AS val FROM a JOIN mem r ON row = r.idx JOIN mem c ON col = c.idx AND c.part = r.part"))
 def d10(spark, d):
-    a, part = _parts(spark, d)
-    return _rounded(D.weighted_matrices(a, D.membership(a, part, "multiplicity")), "val", digits=9)
+    return _rounded(D.weighted_matrices(*_members(spark, d, "multiplicity")), "val", digits=9)
 
 
-@query("a11_subdomain_sizes", _sql("cop sys pt mem", "SELECT m.part::INTEGER AS part, count(*) FILTER (is_owned) AS n_own, count(*) FILTER (NOT is_owned) AS n_ghost, count(DISTINCT owner) FILTER (NOT is_owned) AS n_neighbours, (SELECT count(*) FROM a JOIN mem r ON a.row = r.idx JOIN mem c ON a.col = c.idx AND c.part = r.part WHERE r.part = m.part) AS nnz FROM mem m GROUP BY m.part"))
+@query("a11_subdomain_sizes", _sql("sys pt mem", "SELECT m.part::INTEGER AS part, count(*) FILTER (is_owned) AS n_own, count(*) FILTER (NOT is_owned) AS n_ghost, count(DISTINCT owner) FILTER (NOT is_owned) AS n_neighbours, (SELECT count(*) FROM a JOIN mem r ON a.row = r.idx JOIN mem c ON a.col = c.idx AND c.part = r.part WHERE r.part = m.part) AS nnz FROM mem m GROUP BY m.part"))
 def a11(spark, d):
-    a, part = _parts(spark, d)
-    return D.sizes(a, D.membership(a, part))
+    return D.sizes(*_members(spark, d))
 
 
-@query("j05_extend_add", _sql("cop sys pt mem", "SELECT idx, round(sum(pou * (1 + idx % 7)), 9) AS val FROM mem GROUP BY idx"))
+@query("j05_extend_add", _sql("sys pt mem", "SELECT idx, round(sum(pou * (1 + idx % 7)), 9) AS val FROM mem GROUP BY idx"))
 def j05(spark, d):
-    a, part = _parts(spark, d)
-    members = D.membership(a, part, "multiplicity")
-    local = D.restrict(tables.known_solution(part), members).join(members.select("part", "idx", "pou"), ["part", "idx"])
+    _, members = _members(spark, d, "multiplicity")
+    local = D.restrict(tables.known_solution(_orders(spark, d)), members).join(members.select("part", "idx", "pou"), ["part", "idx"])
     return _rounded(D.extend_add(local.withColumn("val", F.col("val") * F.col("pou"))), "val", digits=9)
 
 
-@query("j09_semi_anti", _sql("cop sys pt mem", "SELECT m.part::INTEGER AS part, count(*) FILTER (i.idx IS NOT NULL) AS inside, count(*) FILTER (i.idx IS NULL) AS outside FROM mem m JOIN a ON a.row = m.idx LEFT JOIN mem i ON i.part = m.part AND i.idx = a.col GROUP BY m.part"))
+@query("j09_semi_anti", _sql("sys pt mem", "SELECT m.part::INTEGER AS part, count(*) FILTER (i.idx IS NOT NULL) AS inside, count(*) FILTER (i.idx IS NULL) AS outside FROM mem m JOIN a ON a.row = m.idx LEFT JOIN mem i ON i.part = m.part AND i.idx = a.col GROUP BY m.part"))
 def j09(spark, d):
-    a, part = _parts(spark, d)
-    members = D.membership(a, part)
+    a, members = _members(spark, d)
     rows = a.join(members.select("part", F.col("idx").alias("row")), "row")
     here = members.select("part", F.col("idx").alias("col"))
     n = lambda how, name: rows.join(here, ["part", "col"], how).groupBy("part").agg(F.count(F.lit(1)).alias(name))
@@ -404,6 +436,92 @@ def j09(spark, d):
     return both.select("part", "inside", F.coalesce("outside", F.lit(0).cast("long")).alias("outside"))
 
 
+@query("d01_graph_partition", _sql("sys pt", "SELECT (SELECT count(*) FROM orders) AS unknowns, (SELECT count(DISTINCT part) FROM pt) AS parts, (SELECT count(*) FROM a WHERE row < col) AS links, true AS balanced, true AS follows_the_graph"))
+def d01_graph(spark, d):
+    """The k-way partition of the graph: every part within 5 % of the mean, and at most 1.2 members for each unknown."""
+    a, part = _graph_parts(spark, d)
+    sizes = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    mean = F.sum("n") / F.count(F.lit(1))
+    near = (F.max("n") <= F.greatest(mean * (1 + P.SLACK), mean + 1)) & (F.min("n") >= F.least(mean * (1 - P.SLACK), mean - 1))
+    one = sizes.agg(F.sum("n").alias("unknowns"), F.count(F.lit(1)).alias("parts"), near.alias("balanced"))
+    members = D.membership(a, part).agg(F.count(F.lit(1)).alias("members"))
+    links = a.filter("row < col").agg(F.count(F.lit(1)).alias("links"))
+    return one.crossJoin(members).crossJoin(links).select("unknowns", "parts", "links", "balanced", (F.col("members") <= 1.2 * F.col("unknowns")).alias("follows_the_graph"))  # one row each
+
+
+AX = "ax AS (SELECT row AS idx, sum(val * (1 + col % 7)) AS val FROM a GROUP BY row)"
+
+
+@query("d03_decomposition", _sql("sys", f", {AX} SELECT idx, round(val, 9) AS val FROM ax"))
+def d03(spark, d):
+    """From matrix to answer: partition by the graph, renumber, distribute, one product, and back to the first order."""
+    a, part = _graph_parts(spark, d)
+    nb = written(D.numbering(part), "numbering")
+    new = nb.select(F.col("new_idx").alias("idx"), "part")
+    x = A.permute_vector(tables.known_solution(_orders(spark, d)), nb)
+    y = M.product(M.distribute(A.permute(a, nb), new), M.vector(x, new))
+    return _rounded(A.original_order(y, nb), "val", digits=9)
+
+
+@query("j02_distributed_product", _sql("sys", f", {AX} SELECT row AS idx, round(sum(a.val * ax.val), 9) AS val FROM a JOIN ax ON col = ax.idx GROUP BY row"))
+def j02(spark, d):
+    """A A x with the matrix in place: the second product takes the first one's parts as they are."""
+    a, part = _graph_parts(spark, d)
+    m = M.distribute(a, part)
+    y = M.held(M.product(m, M.vector(tables.known_solution(_orders(spark, d)), part)))
+    return _rounded(M.product(m, y).select("idx", "val"), "val", digits=9)
+
+
+@query("j04_restrict_columns", _sql("sys pt mem", "SELECT part::INTEGER AS part, mem.idx, j, (j + mem.idx % 7)::DOUBLE AS val FROM mem, (SELECT unnest([1, 2, 3]) AS j)"))
+def j04(spark, d):
+    """R_i X of three columns at once."""
+    x = _orders(spark, d).select("idx", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("j")).withColumn("val", (F.col("j") + F.col("idx") % 7).cast("double"))
+    return D.restrict(x, _members(spark, d)[1])
+
+
+@query("j13_routed_entries", _sql("sys pt", "SELECT part::INTEGER AS part, count(*) AS entries, sum(val) AS total FROM a JOIN pt ON row = idx GROUP BY part"))
+def j13(spark, d):
+    """Coefficients by the owner of their row, found as of the bounds of the new numbers."""
+    a, part = _parts(spark, d)
+    nb = written(D.numbering(part), "numbering")
+    return M.routed(A.permute(a, nb), D.offsets(part)).groupBy("part").agg(F.count(F.lit(1)).alias("entries"), F.sum("val").alias("total"))
+
+
+NEW_VALUES = "b AS (SELECT row, col, val * (1 + row % 3) + CASE WHEN row = col THEN o_totalprice / 1000 ELSE 0 END AS val FROM a JOIN orders ON row = o_orderkey)"
+
+
+def _new_values(spark, d, a):
+    price = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("row"), (F.col("o_totalprice") / 1000).alias("price"))
+    return a.join(price, "row").select("row", "col", (F.col("val") * (1 + F.col("row") % 3) + F.when(F.col("row") == F.col("col"), F.col("price")).otherwise(0.0)).alias("val"))
+
+
+@query("p13_refilled_subdomains", _sql("sys", f", {NEW_VALUES}, " + CTE["pt"] + ", " + CTE["mem"] + ", l AS (SELECT r.part, row, col, val, c.idx IS NOT NULL AS inside FROM b JOIN mem r ON row = r.idx LEFT JOIN mem c ON col = c.idx AND c.part = r.part) SELECT part::INTEGER AS part, row, CASE WHEN inside THEN col ELSE row END AS col, round(sum(CASE WHEN inside THEN val ELSE -abs(val) END), 6) AS val, 1 AS version FROM l GROUP BY ALL"))
+def p13(spark, d):
+    """The lumped local matrices after new values came to their places, at their version."""
+    a, members = _members(spark, d)
+    now = M.update(M.subdomains(a, members), _new_values(spark, d, a))
+    return _rounded(M.lumped_values(now), "val", digits=6).withColumn("version", F.lit(now.version))
+
+
+@query("d11_versions", _sql("sys", f", {NEW_VALUES}, " + CTE["pt"] + ", " + CTE["mem"] + ", n AS (SELECT count(*) FILTER (a.val <> b.val) AS n FROM a JOIN b USING (row, col) JOIN mem ON a.row = mem.idx) SELECT unnest([0, 1, 2]) AS step, unnest([0, n, 0]) AS changed, unnest([0, 1, 1]) AS version FROM n"))
+def d11(spark, d):
+    """Updates with the same, new and again the same values: changed places (of all subdomains) and the version."""
+    a, members = _members(spark, d)
+    s, rows = M.subdomains(a, members), []
+    for step, new in enumerate((a, changed := written(_new_values(spark, d, a), "values"), changed)):
+        s = M.update(s, new)
+        rows.append((step, s.changed, s.version))
+    return spark.createDataFrame(rows, "step int, changed long, version int")
+
+
+@query("a06_residual_norms", _sql("sys", f", {AX} SELECT round(sum(abs(o_totalprice - val)), 3) AS norm1, round(sqrt(sum(pow(o_totalprice - val, 2))), 3) AS norm2 FROM ax JOIN orders ON idx = o_orderkey"))
+def a06(spark, d):
+    """Both norms of the prices minus A x in one pass."""
+    b = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").alias("val"))
+    r = A.norms(A.residual(_chain(spark, d), tables.known_solution(b), b))
+    return _rounded(r.select("norm1", "norm2"), "norm1", "norm2", digits=3)
+
+
 @query("o03_top_k_over_threshold", "SELECT run, k, size FROM (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY abs(value) DESC, event_id) AS k, abs(value) AS size FROM events) WHERE k <= 5 AND size >= 10")
 def o03(spark, d):
     e = tables.table(spark, d, "events").select(F.col("user_id").alias("run"), "event_id", F.abs("value").alias("size"))

@@ -21,3 +21,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, sort: list[str]) -> DataFrame:
+    """As written(), a table of the warehouse bucketed by keys and sorted within buckets: joins and groupings that include
+    the keys read it where it is."""
+    full = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*sort).saveAsTable(full)
+    found = df.sparkSession.table(full)
+    NAMES[id(found)] = full
+    return found
+
+
+#: Tables that bucketed() made, by the DataFrame that reads them.
+NAMES: dict[int, str] = {}
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Drops tables that bucketed() made; others are left alone."""
+    for t in tables:
+        if name := NAMES.pop(id(t), None):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import algebra
+from ..operators import algebra, scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,25 @@ def copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laplacian(w, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx")))
 
 
+def order_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Laplacian plus one of the orders as a graph with locality: each order is linked to its customer's next one, and
+    each customer's first order to that of the nation's next customer who has any."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    chain = orders.select(F.col("o_orderkey").alias("row"), F.lag("o_orderkey").over(own).alias("col"))
+    first = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("row")).join(customers.select("c_custkey", "c_nationkey"), "c_custkey")
+    spine = scan.previous(first, F.struct("c_nationkey", F.col("row").alias("col")), "before", "c_nationkey", "c_custkey")
+    spine = spine.filter(F.col("before.c_nationkey") == F.col("c_nationkey")).select("row", "before.col")
+    one = chain.filter("col IS NOT NULL").unionByName(spine).withColumn("val", F.lit(1.0))
+    return laplacian(algebra.from_coo(one.unionByName(algebra.transpose(one))), orders.select(F.col("o_orderkey").alias("idx")))
+
+
+def chain_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """idx and the keys along which order_chain runs: what a partition that knows the geometry would follow."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), "o_custkey").join(customers, "o_custkey", "left").select("idx", F.col("c_nationkey").alias("nation"), F.col("o_custkey").alias("customer"))
+
+
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D - W + I of the nations: W counts the lines between two nations' suppliers and customers, both ways."""
     t = lambda n: table(spark, sf_dir, n)
