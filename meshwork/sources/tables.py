@@ -35,8 +35,10 @@ def order_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("row")).join(customers.select("c_custkey", "c_nationkey"), "c_custkey")
     spine = scan.previous(first, F.struct("c_nationkey", F.col("row").alias("col")), "before", "c_nationkey", "c_custkey")
     spine = spine.filter(F.col("before.c_nationkey") == F.col("c_nationkey")).select("row", "before.col")
-    one = chain.filter("col IS NOT NULL").unionByName(spine).withColumn("val", F.lit(1.0))
-    return laplacian(algebra.from_coo(one.unionByName(algebra.transpose(one))), orders.select(F.col("o_orderkey").alias("idx")))
+    links = chain.filter("col IS NOT NULL").unionByName(spine)
+    entry = lambda r, c, v: F.struct(F.col(r).alias("row"), F.col(c).alias("col"), F.lit(v).alias("val"))
+    entries = links.select(F.explode(F.array(entry("row", "col", -1.0), entry("col", "row", -1.0), entry("row", "row", 1.0), entry("col", "col", 1.0))).alias("e")).select("e.*")
+    return algebra.from_coo(entries.unionByName(orders.select(F.col("o_orderkey").alias("row"), F.col("o_orderkey").alias("col"), F.lit(1.0).alias("val"))))
 
 
 def chain_order(spark: SparkSession, sf_dir: str) -> DataFrame:
