@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators.algebra import lower_median
 from ..sources import tables
+from .policy import Policy, decisions
 
 Q, S = {}, {}
 LOG = """lg AS (SELECT user_id // 3 AS grp, ['off', 'refactor', 'auto'][user_id % 3 + 1] AS mode, user_id AS run, seq, seq // 3 AS step, seq % 3 AS corrector,
@@ -276,6 +277,27 @@ def t06(log):
     return log.select("run").distinct().join(some, "run", "left").select("run", F.round(premium, 6).alias("premium"))
 
 
+POLICY_SQL = """, sv AS (SELECT run, mode, seq, corrector = 0 AS changed, iterations, decades, converged, t_update, t_solve, corrector AS kind FROM lg),
+ st AS (SELECT run, -1::BIGINT AS seq, NULL::VARCHAR AS level, 0 AS age, 0.0::DOUBLE AS wasted, 0.0::DOUBLE AS premium, true AS sound, 0.0::DOUBLE AS rate, 0.0::DOUBLE AS reference, [0, 0, 0]::DOUBLE[] AS refs, []::DOUBLE[] AS reb, []::DOUBLE[] AS rfc FROM (SELECT DISTINCT run FROM sv)
+ UNION ALL
+ SELECT run, n, lv, CASE lv WHEN 'rebuild' THEN 0 WHEN 'refactorize' THEN age + 1 ELSE age END, w0 + CASE WHEN own > 0 THEN greatest(iterations - own * decades, 0.0) * t_solve / iterations ELSE 0.0 END, prem, converged, iterations / decades, CASE WHEN own > 0 THEN own ELSE iterations / decades END,
+  CASE WHEN own > 0 THEN refs0 ELSE list_transform(refs0, lambda x, i: CASE WHEN i = kind + 1 THEN iterations / decades ELSE x END) END, CASE WHEN lv = 'rebuild' AND t_update > 0 THEN list_append(reb, t_update) ELSE reb END, CASE WHEN lv = 'refactorize' AND t_update > 0 THEN list_append(rfc, t_update) ELSE rfc END
+ FROM (SELECT *, refs0[kind + 1] AS own FROM (SELECT *, CASE WHEN lv = 'rebuild' THEN 0.0 ELSE wasted END AS w0, CASE WHEN lv = 'rebuild' THEN [0, 0, 0]::DOUBLE[] ELSE refs END AS refs0
+ FROM (SELECT *, CASE WHEN seq < 0 OR mode = 'off' OR (mode = 'auto' AND changed AND (NOT sound OR (prem > 0 AND wasted >= prem) OR (reference > 0 AND rate > 4 * reference))) THEN 'rebuild' WHEN changed THEN 'refactorize' ELSE 'reuse' END AS lv
+ FROM (SELECT st.*, sv.seq AS n, mode, changed, iterations, decades, converged, t_update, t_solve, kind, CASE WHEN len(reb) > 0 THEN greatest(list_sort(reb)[(len(reb) + 1) // 2] - coalesce(list_sort(rfc)[(len(rfc) + 1) // 2], 0.0), 0.0) ELSE 0.0 END AS prem FROM st JOIN sv ON sv.run = st.run AND sv.seq = st.seq + 1)))))
+SELECT run, seq, level, age, round(wasted, 6) AS wasted, round(premium, 6) AS premium FROM st WHERE seq >= 0"""
+
+
+@query("t04_reuse_policy", POLICY_SQL)
+def t04(log):
+    """What the policy would have decided for each solve, with the matrix new in each step; correctors are kinds of solves."""
+    solves = log.select("run", "mode", "seq", (F.col("corrector") == 0).alias("changed"), "iterations", "decades", "converged", "t_update", "t_solve", F.col("corrector").alias("kind"))
+    return decisions(solves, Policy(), "mode").select("run", "seq", "level", "age", F.round("wasted", 6).alias("wasted"), F.round("premium", 6).alias("premium"))
+
+
+S["t04_reuse_policy"] = S["t04_reuse_policy"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query("o05_mode_order", ", " + SUMMARY + " SELECT grp, run, row_number() OVER (PARTITION BY grp ORDER BY CASE mode WHEN 'off' THEN 0 WHEN 'refactor' THEN 1 WHEN 'auto' THEN 2 ELSE 3 END, mode, run) AS place FROM sm")
 def o05(log):
     rank = F.when(F.col("mode") == "off", 0).when(F.col("mode") == "refactor", 1).when(F.col("mode") == "auto", 2).otherwise(3)

@@ -3,7 +3,6 @@ import pytest
 
 from meshwork.operators import kernels
 from meshwork.plans.schwarz import Config, _inverted
-from meshwork.plans.sequence import ReusePolicy, lower_median, per_decade
 from meshwork.sources import grids
 from meshwork.sources.matrix_market import step_file
 
@@ -66,28 +65,6 @@ def test_selection_of_complex_pairs():
     assert kernels.selected(values[[1, 0, 2, 3]], vectors[:, [1, 0, 2, 3]], 1, 0.9).shape[1] == 2
 
 
-def test_reuse_policy_by_hand():
-    assert per_decade(10, 1e-5) == 2 and per_decade(0, 0.1) == 0 and per_decade(5, 1.0) == 0
-    assert [lower_median(v) for v in ([], [3], [5, 1], [4, 1, 2], [4, 1, 2, 3])] == [0, 3, 1, 2, 2]
-    p = ReusePolicy("auto")
-    seen = []
-    for level, its, t_update, t_solve in (("rebuild", 10, 2.0, 1.0), ("refactorize", 15, 0.2, 1.5), ("reuse", 15, 0.0, 1.5), ("refactorize", 19, 0.2, 1.9), ("rebuild", 12, 2.5, 1.2)):
-        p.record(level, its, 1e-8, True, t_update, t_solve)
-        seen.append((round(p.wasted, 9), p.decide(True)))
-    assert seen == [(0, "refactorize"), (0.5, "refactorize"), (1.0, "refactorize"), (1.9, "rebuild"), (0, "refactorize")]
-    assert p.references[0] == 1.5 and p.decide(False) == "reuse"
-    assert ReusePolicy("off").decide(False) == "rebuild" and ReusePolicy("refactor").decide(True) == "refactorize"
-
-
-def test_reuse_policy_keeps_kinds_apart():
-    for kinds, wasted in (((0, 2, 0, 2), 0.0), ((0, 0, 0, 0), 1.0)):
-        p = ReusePolicy("auto", growth=4)
-        for kind, (level, its, reduction) in zip(kinds, (("rebuild", 10, 1e-2), ("reuse", 30, 1e-5), ("refactorize", 10, 1e-2), ("reuse", 30, 1e-5))):
-            p.record(level, its, reduction, True, 1.0, its / 10 if kind == 0 and its == 30 else 1.0, kind)
-        assert p.wasted == pytest.approx(wasted if wasted == 0 else p.wasted) and (wasted == 0 or p.wasted > 0)
-    assert ReusePolicy("auto", max_age=1).decide(True) == "refactorize"
-
-
 def test_options():
     c = Config.from_options(["--krylov", "bicgstab", "--tau=0.5", "--single", "yes"])
     assert (c.krylov, c.tau, c.single) == ("bicgstab", 0.5, True)
