@@ -10,6 +10,7 @@ registered query takes since it costs half as much."""
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 
 import numpy as np
@@ -102,18 +103,9 @@ class Pieces:
 
 
 def words_of(text: str | None) -> list[str]:
-    """The words of a text as the model sees it: spaces shown as marks, one added in front; a word is marks and what follows up to the next mark."""
-    if not text:
-        return []
-    out, marks = [], 1
-    for part in text.split(" "):
-        if part:
-            out.append(SPACE * marks + part)
-            marks = 0
-        marks += 1
-    if marks > 1:
-        out.append(SPACE * (marks - 1))
-    return out
+    """The words of a text as the model sees it: spaces shown as marks, one added in front; a word is marks, made of spaces or
+    the text's own, and what follows up to the next mark. No piece has a mark after anything else."""
+    return re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def atoms_of(word: str, pieces: Pieces) -> tuple[str, ...]:
@@ -270,7 +262,7 @@ def _numbered(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
     import pyarrow.compute as pc
 
     texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "").cast(pa.large_string())
-    odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.ends_with(texts, " "), pc.equal(texts, "")))
+    odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.or_(pc.ends_with(texts, " "), pc.equal(texts, "")), pc.match_substring(texts, SPACE)))
     parts = pc.split_pattern(pc.if_else(odd, "", texts), " ")
     counts = np.where(odd.to_numpy(zero_copy_only=False), 0, pc.list_value_length(parts).to_numpy(zero_copy_only=False)).astype(np.int64)
     enc = parts.flatten().dictionary_encode()
