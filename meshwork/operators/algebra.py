@@ -39,9 +39,9 @@ def transpose(a: DataFrame) -> DataFrame:
 
 def symmetry(a: DataFrame, tolerance: float = 1e-14) -> DataFrame:
     """One row: symmetric, and the largest difference to the mirror (a missing one counts as zero) over the largest value."""
-    mirror = transpose(a).withColumnRenamed("val", "mirror")
-    gaps = a.join(mirror, ["row", "col"], "left").select(F.abs(F.col("val") - F.coalesce("mirror", F.lit(0.0))).alias("gap"), F.abs("val").alias("size"))
-    found = gaps.agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias("gap"), F.coalesce(F.max("size"), F.lit(0.0)).alias("size"))
+    above, below = F.when(F.col("row") < F.col("col"), F.col("val")), F.when(F.col("row") > F.col("col"), F.col("val"))
+    pairs = a.groupBy(F.least("row", "col").alias("i"), F.greatest("row", "col").alias("j")).agg(F.abs(F.coalesce(F.sum(above), F.lit(0.0)) - F.coalesce(F.sum(below), F.lit(0.0))).alias("gap"), F.max(F.abs("val")).alias("size"))
+    found = pairs.agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias("gap"), F.coalesce(F.max("size"), F.lit(0.0)).alias("size"))
     return found.select((F.col("gap") <= tolerance * F.col("size")).alias("symmetric"), F.coalesce(F.try_divide("gap", "size"), F.lit(0.0)).alias("relative_gap"))
 
 
@@ -111,6 +111,18 @@ def spmv(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(x.select(F.col("idx").alias("col"), F.col("val").alias("x")), "col").groupBy("row").agg(F.sum(F.col("val") * F.col("x")).alias("val")).withColumnRenamed("row", "idx")
 
 
+def row_arrays(a: DataFrame) -> DataFrame:
+    """row, cols, vals: each row's entries as two arrays, sorted by column. One row of a matrix must fit into a task."""
+    entries = a.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("e"))
+    return entries.select("row", F.col("e.col").alias("cols"), F.col("e.val").alias("vals"))
+
+
+def row_spmv(rows: DataFrame, x: DataFrame) -> DataFrame:
+    """A x over rows as arrays: the entries meet x by column and come back to their rows."""
+    entries = rows.select("row", F.explode(F.arrays_zip(F.col("cols").alias("col"), F.col("vals").alias("val"))).alias("e")).select("row", "e.col", "e.val")
+    return spmv(entries, x)
+
+
 def triple_product(w: DataFrame, a: DataFrame) -> DataFrame:
     """W^T A W for W (idx, coarse_col, val), A W first."""
     right = w.select(F.col("idx").alias("col"), F.col("coarse_col").alias("c"), F.col("val").alias("w"))

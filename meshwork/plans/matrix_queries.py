@@ -10,6 +10,7 @@ from ..operators import decompose as D
 from ..operators import distributed as M
 from ..operators import partition as P
 from ..sources import grids, tables
+from .schwarz import agreed, local_checks
 from .store import written
 
 PARTS = 8
@@ -522,6 +523,22 @@ def a06(spark, d):
     return _rounded(r.select("norm1", "norm2"), "norm1", "norm2", digits=3)
 
 
+@query("a15_subdomain_checks", _sql("sys pt mem", "SELECT part::INTEGER AS part, CASE WHEN bool_or(idx % 1000 = 7) THEN 'pinv' ELSE 'cholesky' END AS method, NOT bool_or(idx % 1000 = 7) AS ok, count(*) FILTER (bool_or(idx % 1000 = 7)) OVER () AS failed FROM mem GROUP BY part"))
+def a15(spark, d):
+    """Factorizations of all subdomains of a matrix with some empty rows: which failed, and how many did."""
+    a, members = _members(spark, d)
+    holes = a.withColumn("val", F.when((F.col("row") % 1000 == 7) | (F.col("col") % 1000 == 7), 0.0).otherwise(F.col("val")))
+    checks, failed, _ = agreed(local_checks(holes, members, True))
+    return checks.withColumn("failed", F.lit(failed).cast("long"))
+
+
+@query("o01_row_arrays", _sql("li x", "SELECT row AS idx, sum(li.val * x.val) AS val FROM li JOIN x ON li.col = x.idx GROUP BY row"))
+def o01(spark, d):
+    """A x over rows as sorted arrays, which are read as one array each; x is exploded to the entries."""
+    rows = A.row_arrays(tables.order_part(spark, d))
+    return A.row_spmv(rows, _x(spark, d))
+
+
 @query("o03_top_k_over_threshold", "SELECT run, k, size FROM (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY abs(value) DESC, event_id) AS k, abs(value) AS size FROM events) WHERE k <= 5 AND size >= 10")
 def o03(spark, d):
     e = tables.table(spark, d, "events").select(F.col("user_id").alias("run"), "event_id", F.abs("value").alias("size"))

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests, a single machine) a new local folder."""
+    """spark.checkpoint.dir; only where it is unset on a single machine (as in tests) a new local folder. On a cluster, whose
+    executors would not see that, an error says so."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.meshwork.shared", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-meshwork-", dir="/tmp")
         spark.conf.set("spark.meshwork.shared", found)
     return found.rstrip("/")

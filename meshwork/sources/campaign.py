@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators import scan
+
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
@@ -105,9 +107,11 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", True).csv(path)
 
 
-def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A report table of at most limit rows; numbers to the right."""
-    found = rows.limit(limit).collect()
+def markdown(rows: DataFrame, *order: str) -> DataFrame:
+    """at, line: the lines of a report table in the order of some columns, numbers to the right; its head is at -2 and -1."""
     right = [t not in ("string", "boolean") for _, t in rows.dtypes]
-    line = lambda cells: "| " + " | ".join(cells) + " |"
-    return "\n".join([line(rows.columns), "|" + "|".join("--:" if r else ":--" for r in right) + "|", *(line(["-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r]) for r in found)])
+    shown = lambda c, t: F.format_string("%.3f", F.col(c)) if t in ("float", "double") else F.col(c).cast("string")
+    cells = [F.coalesce(F.when(F.col(c).isNotNull(), shown(c, t)), F.lit("-")) for c, t in rows.dtypes]
+    body = scan.placed(rows, *order, name="at").select("at", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    head = [(-2, "| " + " | ".join(rows.columns) + " |"), (-1, "|" + "|".join("--:" if r else ":--" for r in right) + "|")]
+    return rows.sparkSession.createDataFrame(head, "at long, line string").unionByName(body)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import algebra
+
 
 def _lines(spark: SparkSession, path: str) -> tuple[list[str], DataFrame, list[int]]:
     """The banner's words, the data lines (with their order, for arrays) and the size line's numbers."""
@@ -65,6 +68,42 @@ def write_vector(x: DataFrame, path: str) -> None:
     head.unionByName(x.select(F.col("idx").cast("long").alias("idx"), F.format_string("%.17g", "val").alias("value"))).orderBy("idx").select("value").write.text(path)
 
 
+@dataclass
+class Problem:
+    """A system of n unknowns, in blocks of a size."""
+
+    matrix: DataFrame
+    rhs: DataFrame
+    n: int
+    block: int
+    symmetric: bool
+
+
+def write_problem(a: DataFrame, b: DataFrame, folder: str) -> None:
+    """A generated system as two files in a folder, `matrix` and `rhs` (unknowns without a value are zeros)."""
+    n = (a.agg(F.max(F.greatest("row", "col"))).first()[0] or 0) + 1
+    write_matrix(a, n, n, f"{folder}/matrix")
+    every = a.sparkSession.range(n).select(F.col("id").alias("idx"))
+    write_vector(every.join(b, "idx", "left").select("idx", F.coalesce("val", F.lit(0.0)).alias("val")), f"{folder}/rhs")
+
+
+def load_problem(spark: SparkSession, matrix: str, rhs: str = "ones", step: int = 0, block: int = 1) -> Problem:
+    """The system of a step, from files whose names may have a pattern of it; `ones` is a right-hand side of ones. Matrices
+    that are not square, sizes that are no multiple of the block's, and right-hand sides of another size raise an error."""
+    a, rows, cols = read_matrix(spark, step_file(matrix, step))
+    if rows != cols:
+        raise ValueError(f"{matrix} is not square: {rows} x {cols}")
+    if block < 1 or rows % block:
+        raise ValueError(f"{rows} unknowns are no multiple of a block of {block}")
+    if rhs == "ones":
+        b = spark.range(rows).select(F.col("id").alias("idx"), F.lit(1.0).alias("val"))
+    else:
+        b = read_vector(spark, step_file(rhs, step))
+        if (given := b.count()) != rows:
+            raise ValueError(f"{rhs} has {given} values for {rows} unknowns")
+    return Problem(a, b, rows, block, bool(algebra.symmetry(a).first()["symmetric"]))
+
+
 def step_file(pattern: str, step: int) -> str:
     """The file of a step: one %d, %4d or %04d in the pattern, or the same file for every step."""
     found = re.findall(r"%(?!%)[^%]*?[a-zA-Z]", pattern)

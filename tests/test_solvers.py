@@ -131,7 +131,8 @@ def test_campaign_readers(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/out").count() == 2
     campaign.write_history([1.0, 0.5], spark, f"{tmp_path}/hist")
     assert [tuple(r) for r in campaign.read_history(spark, f"{tmp_path}/hist").orderBy("k").collect()] == [(0, 1.0), (1, 0.5)]
-    assert campaign.markdown(spark.createDataFrame([("a", 1.0)], "n string, v double")) == "| n | v |\n|:--|--:|\n| a | 1.000 |"
+    table = campaign.markdown(spark.createDataFrame([("b", None), ("a", 1.0)], "n string, v double"), "n")
+    assert [r.line for r in table.orderBy("at").collect()] == ["| n | v |", "|:--|--:|", "| a | 1.000 |", "| b | - |"]
 
 
 def test_bicgstab_is_judged_by_the_true_residual(system, monkeypatch):
