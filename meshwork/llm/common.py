@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import shared_dir, written  # noqa: F401
+
 #: Words are runs of anything but these: space and \t \n \v \f \r, as in Python's bytes.split().
 BLANK = r"[\x20\x09-\x0D]+"
 #: Terms are runs of anything but these: ASCII that is no digit or lower-case letter.
@@ -34,23 +35,6 @@ def terms(text: Column) -> Column:
 TERMS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (tests) a new local one."""
-    set_ = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_:
-        set_ = spark.conf.get("spark.meshwork.shared", None) or tempfile.mkdtemp(prefix="spark-meshwork-", dir="/tmp")
-        spark.conf.set("spark.meshwork.shared", set_)
-    return set_.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, name: str, key: str, buckets: int, folders: list[str] | None = None, kind: Column | None = None) -> DataFrame:
     """As written(), bucketed by key in the warehouse: later groupings and joins on key read it without a shuffle. With
     kind, a column of that value is added and named by folders, and each of its values gets a folder of its own."""
