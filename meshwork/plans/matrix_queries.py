@@ -83,7 +83,7 @@ def _members(spark, d, unity="boolean"):
     return a, written(D.membership(a, part, unity), "members")
 
 
-def _graph_parts(spark, d):
+def graph_parts(spark, d):
     """The chain and the partition found from its graph alone, once for each application and folder."""
     key = (spark.sparkContext.applicationId, d)
     if key not in FOUND:
@@ -440,7 +440,7 @@ def j09(spark, d):
 @query("d01_graph_partition", _sql("sys pt", "SELECT (SELECT count(*) FROM orders) AS unknowns, (SELECT count(DISTINCT part) FROM pt) AS parts, (SELECT count(*) FROM a WHERE row < col) AS links, true AS balanced, true AS follows_the_graph"))
 def d01_graph(spark, d):
     """The k-way partition of the graph: every part within 5 % of the mean, and at most 1.2 members for each unknown."""
-    a, part = _graph_parts(spark, d)
+    a, part = graph_parts(spark, d)
     sizes = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     mean = F.sum("n") / F.count(F.lit(1))
     near = (F.max("n") <= F.greatest(mean * (1 + P.SLACK), mean + 1)) & (F.min("n") >= F.least(mean * (1 - P.SLACK), mean - 1))
@@ -456,7 +456,7 @@ AX = "ax AS (SELECT row AS idx, sum(val * (1 + col % 7)) AS val FROM a GROUP BY
 @query("d03_decomposition", _sql("sys", f", {AX} SELECT idx, round(val, 9) AS val FROM ax"))
 def d03(spark, d):
     """From matrix to answer: partition by the graph, renumber, distribute, one product, and back to the first order."""
-    a, part = _graph_parts(spark, d)
+    a, part = graph_parts(spark, d)
     nb = written(D.numbering(part), "numbering")
     new = nb.select(F.col("new_idx").alias("idx"), "part")
     x = A.permute_vector(tables.known_solution(_orders(spark, d)), nb)
@@ -467,7 +467,7 @@ def d03(spark, d):
 @query("j02_distributed_product", _sql("sys", f", {AX} SELECT row AS idx, round(sum(a.val * ax.val), 9) AS val FROM a JOIN ax ON col = ax.idx GROUP BY row"))
 def j02(spark, d):
     """A A x with the matrix in place: the second product takes the first one's parts as they are."""
-    a, part = _graph_parts(spark, d)
+    a, part = graph_parts(spark, d)
     m = M.distribute(a, part)
     y = M.held(M.product(m, M.vector(tables.known_solution(_orders(spark, d)), part)))
     return _rounded(M.product(m, y).select("idx", "val"), "val", digits=9)
@@ -539,6 +539,15 @@ def o01(spark, d):
     return A.row_spmv(rows, _x(spark, d))
 
 
+@query("s13_point_cells", """WITH side AS (SELECT greatest(2, floor(sqrt(count(*) + 1e-6)))::BIGINT AS n FROM customer), p AS (SELECT o_orderkey, (o_orderkey % 997) / 980.0::DOUBLE - 0.01::DOUBLE AS x, (o_custkey % 991) / 991.0::DOUBLE AS y, n FROM orders, side)
+SELECT o_orderkey, least(greatest(floor(x / (1.0::DOUBLE / n)), 0), n - 1)::BIGINT + n * least(greatest(floor(y / (1.0::DOUBLE / n)), 0), n - 1)::BIGINT AS cell FROM p""")
+def s13(spark, d):
+    """The cell of each order's point, some of which lie outside the grid."""
+    n = tables.grid_side(spark, d, "customer")
+    x, y = (F.col("o_orderkey") % 997) / F.lit(980.0) - F.lit(0.01), (F.col("o_custkey") % 991) / F.lit(991.0)
+    return tables.table(spark, d, "orders").select("o_orderkey", grids.cell_of(x, y, F.lit(0.0), n, n, 1).cast("long").alias("cell"))
+
+
 @query("o03_top_k_over_threshold", "SELECT run, k, size FROM (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY abs(value) DESC, event_id) AS k, abs(value) AS size FROM events) WHERE k <= 5 AND size >= 10")
 def o03(spark, d):
     e = tables.table(spark, d, "events").select(F.col("user_id").alias("run"), "event_id", F.abs("value").alias("size"))

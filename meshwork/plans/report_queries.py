@@ -309,6 +309,14 @@ def u04(log):
     return log.filter("mode = 'off'").select("grp").intersect(log.filter("mode = 'auto'").select("grp"))
 
 
+@query("f12_level_maps", "SELECT run, count(DISTINCT level) AS levels, count(*) FILTER (level = 'reuse') AS reuse, count(*) FILTER (level = 'refactorize') AS refactorize, count(*) FILTER (level = 'rebuild') AS rebuild FROM lg GROUP BY run")
+def f12(log):
+    """Each run's solves by level as a map, and what is looked up in it."""
+    maps = log.groupBy("run", "level").agg(F.count(F.lit(1)).alias("n")).groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("by"))
+    of = lambda name: F.coalesce(F.try_element_at("by", F.lit(name)), F.lit(0).cast("long")).alias(name)
+    return maps.select("run", F.size("by").cast("long").alias("levels"), of("reuse"), of("refactorize"), of("rebuild"))
+
+
 @query("f04_per_decade", "SELECT run, seq, round(iterations / log10(1 / pow(10.0, -decades)), 6) AS per_decade, CASE WHEN t_solve >= 100 THEN 0 WHEN t_solve >= 10 THEN 1 WHEN t_solve >= 1 THEN 2 ELSE 3 END AS digits FROM lg")
 def f04(log):
     reduction = F.pow(F.lit(10.0), -F.col("decades"))

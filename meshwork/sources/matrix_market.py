@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import algebra
+from ..operators import algebra, scan
 
 
 def _lines(spark: SparkSession, path: str) -> tuple[list[str], DataFrame, list[int]]:
@@ -43,14 +43,7 @@ def read_vector(spark: SparkSession, path: str) -> DataFrame:
     """(idx, val): an n x 1 array in its order, or a one-column coordinate matrix, absent entries as zero."""
     banner, data, size = _lines(spark, path)
     if banner[2] == "array":
-        marked = data.withColumn("part", F.shiftright("at", 33))  # monotonic ids hold the partition there
-        before = {r.part: r.n for r in marked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-        first, total = {}, 0
-        for p in sorted(before):
-            first[p], total = total, total + before[p]
-        start = F.element_at(F.create_map(*(F.lit(x) for kv in first.items() for x in kv)), F.col("part"))
-        place = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
-        return marked.select((start + place).cast("long").alias("idx"), F.trim("value").cast("double").alias("val"))
+        return scan.placed(data, "at", name="idx").select("idx", F.trim("value").cast("double").alias("val"))
     entries, n, _ = read_matrix(spark, path)
     return spark.range(n).select(F.col("id").alias("idx")).join(entries.select(F.col("row").alias("idx"), "val"), "idx", "left").select("idx", F.coalesce("val", F.lit(0.0)).alias("val"))
 
