@@ -25,7 +25,8 @@ def range_partition(x: DataFrame, rows: int) -> DataFrame:
 def ordered_partition(x: DataFrame, parts: int) -> DataFrame:
     """Stretches of nearly equal size along the order of x's other columns, then of idx: place * parts / n."""
     keys = [F.asc(c) for c in x.columns if c != "idx"]
-    return scan.placed(x, *keys, "idx").select("idx", F.floor(F.col("place") * parts / F.lit(x.count())).cast("int").alias("part"))
+    placed = scan.placed(x, *keys, "idx")
+    return placed.select("idx", F.floor(F.col("place") * parts / F.lit(placed.count())).cast("int").alias("part"))
 
 
 def grid_partition(x: DataFrame, nx: int, ny: int, px: int, py: int) -> DataFrame:

@@ -69,7 +69,7 @@ def _part_count(spark, d) -> int:
 
 def _order(spark, d):
     """The partition that follows the chain of orders, which the number of subdomains follows."""
-    return written(D.ordered_partition(tables.chain_order(spark, d), _part_count(spark, d)), "partition")
+    return D.ordered_partition(tables.chain_order(spark, d), _part_count(spark, d))
 
 
 def _parts(spark, d):
