@@ -59,22 +59,23 @@ class DigestIndex:
         Null texts equal empty ones. A null key loses to any other. Of rows with the same key and text one stays. Only key
         and text are read, so other columns may have any name. An empty batch appends nothing."""
         batch = batch or uuid.uuid4().hex
-        digests = common.written(docs.select(F.col(f"`{key}`").alias("doc_id"), text_digest(F.col(f"`{text}`")).alias("digest")), "digests")
+        rows = docs.select(F.col(f"`{key}`").alias("doc_id"), text_digest(F.col(f"`{text}`")).alias("digest"))
+        digests = common.written(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
         buckets = self._open(digests.count())
-        local = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        fresh = local.join(self.entries().select("digest").hint("merge"), "digest", "left_anti")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+        local = digests.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+        local = common.written(local.select("digest", F.col("first.doc_id").alias("keep_id"), "group_size", F.col("first.row").alias("keep_row")), "digest_groups")
+        fresh = local.drop("keep_row").join(self.entries().select("digest").hint("merge"), "digest", "left_anti")
         self._write(fresh.withColumn("batch", F.lit(batch)), "append", self.name, buckets)
-        turn = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy(F.lit(1)))
-        return (
-            digests.withColumn("turn", turn)
-            .join(self.entries().hint("merge"), "digest")
-            .select(
-                F.col("doc_id").alias(key),
-                "keep_id",
-                "group_size",
-                ((F.col("batch") == batch) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)).alias("kept"),
-                F.col("digest").alias("text_sha256"),
-            )
+        # One row for each digest, and written: the last join reads two plain tables, so that a digest with very many rows is
+        # split like any skewed key.
+        answers = common.written(local.select("digest", "keep_row").join(self.entries().hint("merge"), "digest"), "digest_answers")
+        return digests.join(answers, "digest").select(
+            F.col("doc_id").alias(key),
+            "keep_id",
+            "group_size",
+            ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"),
+            F.col("digest").alias("text_sha256"),
         )
 
 
