@@ -16,12 +16,12 @@ from .store import written
 
 #: Exit statuses.
 CONVERGED, FAILED, NOT_CONVERGED = 0, 1, 2
-OWN = {"matrix": str, "rhs": str, "step": int, "block": int, "parts": int, "solution": str, "csv": str}
+OWN = {"matrix": str, "rhs": str, "seed": int, "step": int, "block": int, "parts": int, "solution": str, "csv": str}
 
 
 def parsed(args: list[str]) -> tuple[dict, Config]:
     """The driver's own options and the solver's; unknown ones and wrong values raise an error."""
-    own, rest, at = {"rhs": "ones", "step": 0, "block": 1, "parts": 1}, [], 0
+    own, rest, at = {"rhs": "ones", "seed": matrix_market.SEED, "step": 0, "block": 1, "parts": 1}, [], 0
     while at < len(args):
         key, eq, value = args[at].removeprefix("--").partition("=")
         if args[at].startswith("--") and key in OWN:
@@ -44,7 +44,7 @@ def parsed(args: list[str]) -> tuple[dict, Config]:
 def solved(spark: SparkSession, own: dict, config: Config) -> tuple[DataFrame, dict]:
     """The solution in the matrix's own order, and the report's figures. A subdomain whose factorization fails stops the
     solve for all, with the parts that failed in the error."""
-    p = matrix_market.load_problem(spark, own["matrix"], own["rhs"], own["step"], own["block"])
+    p = matrix_market.load_problem(spark, own["matrix"], own["rhs"], own["step"], own["block"], own["seed"])
     a, b = written(p.matrix, "matrix"), written(p.rhs, "rhs")
     parts = written(partition.graph_partition(a, b.select("idx"), own["parts"], p.block), "partition")
     start = time.perf_counter()

@@ -9,7 +9,8 @@ from ..operators import algebra as A
 from ..operators import decompose as D
 from ..operators import distributed as M
 from ..operators import partition as P
-from ..sources import grids, tables
+from ..operators import scan
+from ..sources import grids, seeded, tables
 from .schwarz import agreed, local_checks
 from .store import written
 
@@ -67,14 +68,14 @@ def _part_count(spark, d) -> int:
     return max(2, tables.table(spark, d, "orders").count() // PART_ROWS)
 
 
-def _order(spark, d):
+def along_chain(spark, d):
     """The partition that follows the chain of orders, which the number of subdomains follows."""
     return D.ordered_partition(tables.chain_order(spark, d), _part_count(spark, d))
 
 
 def _parts(spark, d):
     """The chain of orders and a partition of its unknowns along it."""
-    return _chain(spark, d), _order(spark, d)
+    return _chain(spark, d), along_chain(spark, d)
 
 
 def _members(spark, d, unity="boolean"):
@@ -359,13 +360,13 @@ def d01(spark, d):
 
 @query("a09_part_offsets", _sql("pt", "SELECT part::INTEGER AS part, count(*) AS n, (sum(count(*)) OVER (ORDER BY part) - count(*))::BIGINT AS first FROM pt GROUP BY part"))
 def a09(spark, d):
-    return D.offsets(_order(spark, d))
+    return D.offsets(along_chain(spark, d))
 
 
 @query("j07_owner", _sql("pt", "SELECT idx, part::INTEGER AS part FROM pt"))
 def j07(spark, d):
     """Each order's part as of the bounds of the new numbers; back to the old ones."""
-    part = _order(spark, d)
+    part = along_chain(spark, d)
     nb = D.numbering(part)
     return D.owners(nb.select(F.col("new_idx").alias("idx")), D.offsets(part)).join(nb.select(F.col("old_idx"), F.col("new_idx").alias("idx")), "idx").select(F.col("old_idx").alias("idx"), "part")
 
@@ -548,6 +549,50 @@ def s13(spark, d):
     return tables.table(spark, d, "orders").select("o_orderkey", grids.cell_of(x, y, F.lit(0.0), n, n, 1).cast("long").alias("cell"))
 
 
+# The standard's seed sequence of each of the pairs, and its engine, as recursions: half a window of 156 words a step.
+SEEDS_SQL = f"""sq AS (SELECT step, corrector, 0 AS k, [{seeded.SEED}::BIGINT, step, corrector, {seeded.STEP_MARK}] AS v, list_transform(range(624), lambda i: {seeded.FILL}::BIGINT) AS b FROM pairs
+  UNION ALL SELECT step, corrector, k + 1, v, list_transform(b, lambda y, i: CASE WHEN i - 1 = k % 624 THEN own
+    WHEN i - 1 = (k + 306) % 624 THEN CASE WHEN k < 624 THEN (y + r) % 4294967296 ELSE xor(y, r) END
+    WHEN i - 1 = (k + 317) % 624 THEN CASE WHEN k < 624 THEN (y + own) % 4294967296 ELSE xor(y, own) END ELSE y END)
+  FROM (SELECT *, CASE WHEN k < 624 THEN (r + CASE WHEN k = 0 THEN 4 WHEN k <= 4 THEN k + v[k] ELSE k END) % 4294967296 ELSE (r - k % 624 + 4294967296) % 4294967296 END AS own
+  FROM (SELECT *, CASE WHEN k < 624 THEN ({seeded.MIX1} * xor(u, u >> 27)) % 4294967296 ELSE ({seeded.MIX2} * xor(u, u >> 27)) % 4294967296 END AS r
+  FROM (SELECT *, CASE WHEN k < 624 THEN xor(xor(b[k % 624 + 1], b[(k + 306) % 624 + 1]), b[(k + 623) % 624 + 1]) ELSE (b[k % 624 + 1] + b[(k + 306) % 624 + 1] + b[(k + 623) % 624 + 1]) % 4294967296 END AS u FROM sq WHERE k < 1248)))),
+ first AS (SELECT step, corrector, list_transform(range(312), lambda i: b[2 * i + 1]::UBIGINT + b[2 * i + 2]::UBIGINT * 4294967296::UBIGINT) AS s FROM sq WHERE k = 1248)"""
+TWIST_SQL = f"""tw AS (SELECT *, 0 AS h FROM first UNION ALL
+  SELECT tw.* EXCLUDE (s, h), list_concat(s[157:312], list_transform(range(1, 157), lambda i: xor(xor(s[i + 156], ((s[i] & {seeded.UPPER}::UBIGINT) | (s[i + 1] & {seeded.LOWER}::UBIGINT)) >> 1), CASE WHEN s[i + 1] & 1 = 1 THEN {seeded.TWIST}::UBIGINT ELSE 0::UBIGINT END))), h + 1 FROM tw, many WHERE h * 156 < many.n),
+ w0 AS (SELECT * EXCLUDE (s, h), unnest(s[157:312]) AS g, (h - 1) * 156 + generate_subscripts(s[157:312], 1) - 1 AS place FROM tw WHERE h > 0),
+ w1 AS (SELECT * REPLACE (xor(g, (g >> 29) & 6148914691236517205::UBIGINT) AS g) FROM w0),
+ w2 AS (SELECT * REPLACE (xor(g, (g & (8202884508482404352::UBIGINT >> 17)) << 17) AS g) FROM w1),
+ w3 AS (SELECT * REPLACE (xor(g, (g & (18444473444759240704::UBIGINT >> 37)) << 37) AS g) FROM w2),
+ drawn AS (SELECT * EXCLUDE (g), least(xor(g, g >> 43)::DOUBLE / 18446744073709551616.0::DOUBLE, 0.9999999999999999::DOUBLE) * 2 - 1 AS val FROM w3)"""
+
+
+@query("s16_random_vector", f"""WITH RECURSIVE many AS (SELECT count(*) AS n FROM orders),
+ wd AS (SELECT 0 AS i, {seeded.SEED}::UBIGINT AS w UNION ALL SELECT i + 1, (({seeded.INIT}::HUGEINT * xor(w, w >> 62)::HUGEINT + i + 1) % 18446744073709551616::HUGEINT)::UBIGINT FROM wd WHERE i < 311),
+ first AS (SELECT list(w ORDER BY i) AS s FROM wd),
+ {TWIST_SQL}
+SELECT o_orderkey AS idx, val FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders) JOIN drawn USING (place)""")
+def s16(spark, d):
+    """The seeded right-hand side over the orders, in the order of their keys."""
+    at = scan.placed(tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("idx")), "idx")
+    drawn = seeded.random_vector(spark, at.count(), seeded.SEED).withColumnRenamed("idx", "place")
+    return at.join(drawn, "place").select("idx", "val")
+
+
+@query("s17_step_vectors", f"""WITH RECURSIVE many AS (SELECT count(*) AS n FROM supplier),
+ lg AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events),
+ pairs AS (SELECT DISTINCT seq // 3 AS step, seq % 3 AS corrector FROM lg),
+ {SEEDS_SQL},
+ {TWIST_SQL}
+SELECT step, corrector, s_suppkey AS idx, val FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS place FROM supplier) JOIN drawn USING (place)""")
+def s17(spark, d):
+    """The right-hand sides over the suppliers of every step and corrector that the log of solves has."""
+    at = scan.placed(tables.table(spark, d, "supplier").select(F.col("s_suppkey").alias("idx")), "idx")
+    steps = tables.solve_log(spark, d).select("step", "corrector").distinct()
+    drawn = seeded.uniform(steps.withColumn("seed", seeded.step_seed(seeded.SEED, F.col("step"), F.col("corrector"))), at.count())
+    return at.join(drawn, "place").select("step", "corrector", "idx", "val")
+
+
 @query("o03_top_k_over_threshold", "SELECT run, k, size FROM (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY abs(value) DESC, event_id) AS k, abs(value) AS size FROM events) WHERE k <= 5 AND size >= 10")
 def o03(spark, d):
     e = tables.table(spark, d, "events").select(F.col("user_id").alias("run"), "event_id", F.abs("value").alias("size"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import algebra, scan
+from . import seeded
+from .seeded import SEED
 
 
 def _lines(spark: SparkSession, path: str) -> tuple[list[str], DataFrame, list[int]]:
@@ -80,9 +82,9 @@ def write_problem(a: DataFrame, b: DataFrame, folder: str) -> None:
     write_vector(every.join(b, "idx", "left").select("idx", F.coalesce("val", F.lit(0.0)).alias("val")), f"{folder}/rhs")
 
 
-def load_problem(spark: SparkSession, matrix: str, rhs: str = "ones", step: int = 0, block: int = 1) -> Problem:
-    """The system of a step, from files whose names may have a pattern of it; `ones` is a right-hand side of ones. Matrices
-    that are not square, sizes that are no multiple of the block's, and right-hand sides of another size raise an error."""
+def load_problem(spark: SparkSession, matrix: str, rhs: str = "ones", step: int = 0, block: int = 1, seed: int = SEED) -> Problem:
+    """The system of a step, from files whose names may have a pattern of it; `ones` is a right-hand side of ones, `random` one
+    of the seed's values in [-1, 1), which no partitioning changes. Matrices that are not square, sizes that are no multiple of the block's, and right-hand sides of another size raise an error."""
     a, rows, cols = read_matrix(spark, step_file(matrix, step))
     if rows != cols:
         raise ValueError(f"{matrix} is not square: {rows} x {cols}")
@@ -90,6 +92,8 @@ def load_problem(spark: SparkSession, matrix: str, rhs: str = "ones", step: int
         raise ValueError(f"{rows} unknowns are no multiple of a block of {block}")
     if rhs == "ones":
         b = spark.range(rows).select(F.col("id").alias("idx"), F.lit(1.0).alias("val"))
+    elif rhs == "random":
+        b = seeded.random_vector(spark, rows, seed)
     else:
         b = read_vector(spark, step_file(rhs, step))
         if (given := b.count()) != rows:

@@ -7,7 +7,7 @@ import pytest
 from meshwork.plans import campaign_queries, format_queries, matrix_queries, report_queries, solver_queries
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"l10_multigrid_local_solves", "m03_additive_multiplicity", "q31_smallest_modes", "r02_bicgstab_convdiff"}
+SLOW = {"l10_multigrid_local_solves", "m03_additive_multiplicity", "q31_smallest_modes", "r02_bicgstab_convdiff", "t02_chain_time_loop"}
 CASES = [(n, m.Q[n], m.S[n]) for m in (matrix_queries, report_queries, campaign_queries, format_queries, solver_queries) for n in m.S if n not in SLOW]
 
 
