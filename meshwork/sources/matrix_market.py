@@ -13,18 +13,26 @@ from . import seeded
 from .seeded import SEED
 
 
+#: A line's place: its file's name, the start of the split, and its number there. Spark deals files to tasks by size, so that
+#: the number alone does not follow the files' order.
+PLACE = ["_file", "_from", "at"]
+
+
 def _lines(spark: SparkSession, path: str) -> tuple[list[str], DataFrame, list[int]]:
-    """The banner's words, the data lines (with their order, for arrays) and the size line's numbers."""
-    text = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    first = text.filter("value LIKE '\\%\\%%'").orderBy("at").first()
+    """The banner's words, the data lines (with their place, for arrays) and the size line's numbers."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("at"))
+    is_data = ~F.col("value").startswith("%") & (F.trim("value") != "")
+    line = F.struct(*PLACE, "value")
+    first, size = text.agg(F.min(F.when(F.col("value").startswith("%%"), line)), F.min(F.when(is_data, line))).first()
     banner = first.value.lower().split() if first else []
     if len(banner) < 5 or banner[:2] != ["%%matrixmarket", "matrix"]:
         raise ValueError(f"{path} has no Matrix Market banner")
     if banner[3] not in ("real", "integer", "pattern", "double") or banner[4] not in ("general", "symmetric", "skew-symmetric"):
         raise ValueError(f"{path}: {' '.join(banner[3:])} matrices are not supported")
-    data = text.filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    size = data.orderBy("at").first()
-    return banner, data.filter(F.col("at") > size["at"]), [int(x) for x in size.value.split()]
+    if not size:
+        raise ValueError(f"{path} has no line of sizes")
+    rest = (F.col("_file") != size["_file"]) | (F.col("_from") != size["_from"]) | (F.col("at") != size["at"])
+    return banner, text.filter(is_data & rest), [int(x) for x in size.value.split()]
 
 
 def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
@@ -45,7 +53,7 @@ def read_vector(spark: SparkSession, path: str) -> DataFrame:
     """(idx, val): an n x 1 array in its order, or a one-column coordinate matrix, absent entries as zero."""
     banner, data, size = _lines(spark, path)
     if banner[2] == "array":
-        return scan.placed(data, "at", name="idx").select("idx", F.trim("value").cast("double").alias("val"))
+        return scan.placed(data, *PLACE, name="idx").select("idx", F.trim("value").cast("double").alias("val"))
     entries, n, _ = read_matrix(spark, path)
     return spark.range(n).select(F.col("id").alias("idx")).join(entries.select(F.col("row").alias("idx"), "val"), "idx", "left").select("idx", F.coalesce("val", F.lit(0.0)).alias("val"))
 

@@ -58,3 +58,22 @@ def test_symmetry_counts_missing_mirrors(spark):
     assert of([(0, 0, 4.0), (0, 1, 2.0), (1, 0, 1.0)]) == (False, 0.25)
     assert of([(0, 0, 4.0), (1, 0, -2.0)]) == (False, 0.5)
     assert of([]) == (True, 0.0)
+
+
+def test_a_file_of_many_parts_is_read_in_their_order(spark, tmp_path):
+    """Later parts are larger, and Spark reads large files first."""
+    lines = ["%%MatrixMarket matrix array real general", "6 1"], ["1.5"], ["2.50000000000", "3.5"], ["4.5000000000000000", "5.5000000000000000", "6.5000000000000000000"]
+    matrix = ["%%MatrixMarket matrix coordinate real general", "3 4 3"], ["1 1 1.0000000000000000000000000000000000000"], ["2 2 2.0000000000000000000000000000000000000", "3 4 3.0"]
+    for name, parts in (("x", lines), ("a", matrix)):
+        (tmp_path / name).mkdir()
+        for at, part in enumerate(parts):
+            (tmp_path / name / f"part-{at:05d}.txt").write_text("\n".join(part) + "\n")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for cost in ("1", "1g"):  # files together in a task, and one for each
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            assert [tuple(r) for r in matrix_market.read_vector(spark, f"{tmp_path}/x").orderBy("idx").collect()] == [(i, i + 1.5) for i in range(6)]
+            a, rows, cols = matrix_market.read_matrix(spark, f"{tmp_path}/a")
+            assert (rows, cols) == (3, 4) and {tuple(r) for r in a.collect()} == {(0, 0, 1.0), (1, 1, 2.0), (2, 3, 3.0)}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
