@@ -1,3 +1,4 @@
+from meshwork.operators import algebra
 from meshwork.plans import matrix_queries
 from meshwork.sources import tables
 
@@ -13,3 +14,25 @@ def test_decomposition_queries_take_the_whole_catalogue(spark):
     assert sum(r.inside for r in met) == sum(r.nnz for r in sizes)
     for name in ("d02_edge_cut", "d05_local_matrices", "d06_lumping", "d08_multiplicity_unity", "d09_lumped_matrices", "w03_ghost_blocks", "a11_subdomain_sizes", "j09_semi_anti"):
         assert "FROM part" in matrix_queries.S[name] and "FROM orders" not in matrix_queries.S[name]
+
+
+def test_copurchase_counts_each_pair_once_and_takes_odd_lines(spark, tmp_path, capsys):
+    """Repeated lines, nulls, parts that the table lacks, and orders of one part; no part meets all others in a self-join."""
+    lines = [(1, 5), (1, 5), (1, 7), (1, None), (None, 5), (None, 7), (2, 7), (2, 5), (2, 9), (3, 8), (4, 11)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p,) for p in (5, 7, 8, 9)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    a = tables.copurchase(spark, str(tmp_path))
+    off = {(5, 7): -2.0, (5, 9): -1.0, (7, 9): -1.0}
+    want = off | {(j, i): v for (i, j), v in off.items()} | {(5, 5): 4.0, (7, 7): 4.0, (8, 8): 1.0, (9, 9): 3.0}
+    assert sorted(tuple(r) for r in a.collect()) == sorted((i, j, v) for (i, j), v in want.items())
+    a.explain()
+    assert "Join" not in capsys.readouterr().out
+
+
+def test_only_the_diagonal_is_shuffled(spark):
+    a = spark.createDataFrame([(1, 1, 2.0), (1, 2, 3.0), (2, 1, 4.0)], "row long, col long, val double")
+    d = spark.createDataFrame([(1, 0.5), (2, 0.5)], "idx long, val double")
+    out = algebra.add_diagonal(a, d)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 2.5), (1, 2, 3.0), (2, 1, 4.0), (2, 2, 0.5)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Aggregate")
