@@ -65,8 +65,11 @@ def row_range(a: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def add_diagonal(a: DataFrame, diagonal: DataFrame) -> DataFrame:
-    """A + diag(d) for d (idx, val); a missing diagonal entry is inserted."""
-    return from_coo(a.select("row", "col", "val").unionByName(diagonal.select(F.col("idx").alias("row"), F.col("idx").alias("col"), "val")))
+    """A + diag(d) for d (idx, val); a missing diagonal entry is inserted. Entries off A's diagonal, each there once, pass as they
+    are: only diagonals are shuffled."""
+    on = F.col("row").eqNullSafe(F.col("col"))
+    d = diagonal.select(F.col("idx").alias("row"), F.col("idx").alias("col"), "val")
+    return a.filter(~on).select("row", "col", "val").unionByName(from_coo(a.filter(on).select("row", "col", "val").unionByName(d)))
 
 
 def fingerprint(a: DataFrame) -> DataFrame:
