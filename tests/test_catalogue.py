@@ -1,5 +1,8 @@
-from meshwork.operators import algebra
+from pyspark.sql import functions as F
+
+from meshwork.operators import algebra, graph
 from meshwork.plans import matrix_queries
+from meshwork.plans.store import written
 from meshwork.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +39,13 @@ def test_only_the_diagonal_is_shuffled(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 2.5), (1, 2, 3.0), (2, 1, 4.0), (2, 2, 0.5)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Union") < plan.index("Aggregate")
+
+
+def test_components_join_without_broadcasts(spark, monkeypatch, capsys):
+    tables_ = []
+    monkeypatch.setattr(graph, "written", lambda df, name: (df.explain(), tables_.append(name), written(df, name))[2])
+    nodes = spark.range(6).select(F.col("id").alias("idx"))
+    edges = spark.createDataFrame([(0, 1), (2, 1), (4, 5)], "src long, dst long")
+    assert sorted(tuple(r) for r in graph.components(nodes, edges).collect()) == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 4), (5, 4)]
+    plans = capsys.readouterr().out
+    assert len(tables_) > 2 and "SortMergeJoin" in plans and "Broadcast" not in plans
