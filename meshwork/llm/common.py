@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,18 @@ def unboxed(rows: DataFrame) -> DataFrame:
     return rows.select("row.*")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Jobs that are run inside hand Python at most so many rows at once (fewer, if the session says so)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def sample_rate(rows: int, most: int) -> float:
     return 1.0 if rows <= most else most / rows
 

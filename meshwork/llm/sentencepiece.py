@@ -24,6 +24,8 @@ SPACE = "▁"
 LONGEST_WORD = 62
 #: Bytes of text of a block, and of the corpus for each range of words, on average.
 BLOCK_BYTES, RANGE_BYTES = 16 << 20, 4 << 20
+#: Bytes of text that are split at once, and rows that a reading task gets at once: what a task holds beside its block.
+SLICE_BYTES, BATCH_ROWS = 2 << 20, 512
 NEVER = 1e30
 
 
@@ -257,7 +259,20 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _numbered(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """How many words each text has, the number of each word, and the different words."""
+    """How many words each text has, the number of each word, and the different words; SLICE_BYTES of text are split at a time."""
+    import pyarrow as pa
+
+    place: dict[str, int] = {}
+    counts, ids = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+    for held in common.sized(pa.table({"text": texts}).to_batches(), SLICE_BYTES):
+        n, own, words = _numbered_slice(pa.Table.from_batches(held).column("text"))
+        of = np.fromiter((place.setdefault(w, len(place)) for w in words), dtype=np.uint32, count=len(words))
+        counts.append(n)
+        ids.append(of[own])
+    return np.concatenate(counts), np.concatenate(ids), list(place)
+
+
+def _numbered_slice(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -331,7 +346,8 @@ def encode(docs: DataFrame, model: str, fold: str = "merge") -> DataFrame:
             yield from rows(held)
             at += 1
 
-    table = common.bucketed(own.mapInArrow(read, "block long, range long, data binary"), "piece_blocks", "block", int(spark.conf.get("spark.sql.shuffle.partitions")), ["kind"], F.col("range") < 0)
+    with common.batches_of(spark, BATCH_ROWS):
+        table = common.bucketed(own.mapInArrow(read, "block long, range long, data binary"), "piece_blocks", "block", int(spark.conf.get("spark.sql.shuffle.partitions")), ["kind"], F.col("range") < 0)
     blocks, asked = table.filter("kind").select("block", "data"), table.filter("NOT kind").select("block", "range", "data")
 
     def different(t):
