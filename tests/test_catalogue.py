@@ -49,3 +49,12 @@ def test_components_join_without_broadcasts(spark, monkeypatch, capsys):
     assert sorted(tuple(r) for r in graph.components(nodes, edges).collect()) == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 4), (5, 4)]
     plans = capsys.readouterr().out
     assert len(tables_) > 2 and "SortMergeJoin" in plans and "Broadcast" not in plans
+
+
+def test_symmetry_takes_as_many_tasks_as_entries_need(spark, monkeypatch, capsys):
+    a = spark.createDataFrame([(i, j, float(i + j)) for i in range(20) for j in range(20)] + [(30, 31, 1.0)], "row long, col long, val double")
+    monkeypatch.setattr(algebra, "ENTRIES_A_TASK", 10)
+    out = algebra.symmetry(a)
+    assert not out.first().symmetric and algebra.symmetry(a.filter("row < 20")).first().symmetric
+    out.explain()
+    assert ", 40)" in capsys.readouterr().out  # 401 entries in 40 tasks
