@@ -37,14 +37,21 @@ def transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("col").alias("row"), F.col("row").alias("col"), "val")
 
 
-#: Entries that one task groups by pair.
+#: Entries that one task groups by pair, or joins.
 ENTRIES_A_TASK = 250_000
+#: Rows of a numbering that Spark may broadcast; with more, entries are dealt out.
+SHORT = 500_000
+
+
+def _tasks(a: DataFrame) -> int:
+    """As many tasks as the entries need, those of the session at least."""
+    return max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a.count() // ENTRIES_A_TASK)
 
 
 def symmetry(a: DataFrame, tolerance: float = 1e-14) -> DataFrame:
     """One row: symmetric, and the largest difference to the mirror (a missing one counts as zero) over the largest value. There are
     as many tasks as the entries need, so that a task's memory does not grow with them."""
-    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a.count() // ENTRIES_A_TASK)
+    tasks = _tasks(a)
     above, below = F.when(F.col("row") < F.col("col"), F.col("val")), F.when(F.col("row") > F.col("col"), F.col("val"))
     ends = a.select("row", "col", "val", F.least("row", "col").alias("i"), F.greatest("row", "col").alias("j")).repartition(tasks, "i", "j")
     pairs = ends.groupBy("i", "j").agg(F.abs(F.coalesce(F.sum(above), F.lit(0.0)) - F.coalesce(F.sum(below), F.lit(0.0))).alias("gap"), F.max(F.abs("val")).alias("size"))
@@ -53,10 +60,15 @@ def symmetry(a: DataFrame, tolerance: float = 1e-14) -> DataFrame:
 
 
 def permute(a: DataFrame, numbering: DataFrame) -> DataFrame:
-    """P A P^T for numbering (old_idx, new_idx)."""
+    """P A P^T for numbering (old_idx, new_idx). Entries that are more than the session's tasks should join are dealt to as many as
+    they need, so that a task's memory does not grow with them; not with a short numbering, which joins without a shuffle."""
+    tasks = _tasks(a)
+    many = tasks > int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")) and numbering.count() > SHORT
+    dealt = lambda df, c: df.repartition(tasks, c) if many else df
     rows = numbering.select(F.col("old_idx").alias("row"), F.col("new_idx").alias("new_row"))
     cols = numbering.select(F.col("old_idx").alias("col"), F.col("new_idx").alias("new_col"))
-    return a.join(rows, "row").join(cols, "col").select(F.col("new_row").alias("row"), F.col("new_col").alias("col"), "val")
+    met = dealt(a.select("row", "col", "val"), "row").join(rows, "row")
+    return dealt(met, "col").join(cols, "col").select(F.col("new_row").alias("row"), F.col("new_col").alias("col"), "val")
 
 
 def permute_vector(x: DataFrame, numbering: DataFrame) -> DataFrame:

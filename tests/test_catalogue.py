@@ -58,3 +58,19 @@ def test_symmetry_takes_as_many_tasks_as_entries_need(spark, monkeypatch, capsys
     assert not out.first().symmetric and algebra.symmetry(a.filter("row < 20")).first().symmetric
     out.explain()
     assert ", 40)" in capsys.readouterr().out  # 401 entries in 40 tasks
+
+
+def test_permutation_takes_as_many_tasks_as_entries_need(spark, monkeypatch, capsys):
+    a = spark.createDataFrame([(i, j, float(20 * i + j)) for i in range(20) for j in range(20)], "row long, col long, val double")
+    nb = spark.range(20).select(F.col("id").alias("old_idx"), (19 - F.col("id")).alias("new_idx"))
+    monkeypatch.setattr(algebra, "ENTRIES_A_TASK", 10)
+    monkeypatch.setattr(algebra, "SHORT", 10, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = algebra.permute(a, nb)
+        assert {(r.row, r.col): r.val for r in out.collect()} == {(19 - i, 19 - j): float(20 * i + j) for i in range(20) for j in range(20)}
+        out.explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert ", 40)" in plan and ", 4)" not in plan  # 400 entries in 40 tasks, the numbering with them
