@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,8 @@ LONGEST_WORD = 62
 BLOCK_BYTES, RANGE_BYTES = 16 << 20, 4 << 20
 #: Bytes of text that are split at once, and rows that a reading task gets at once: what a task holds beside its block.
 SLICE_BYTES, BATCH_ROWS = 2 << 20, 512
+#: Words whose ids are put in place at once.
+SLICE_WORDS = 1 << 18
 NEVER = 1e30
 
 
@@ -259,20 +262,27 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _numbered(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """How many words each text has, the number of each word, and the different words; SLICE_BYTES of text are split at a time."""
+    """How many words each text has, the number of each word, and the different words. SLICE_BYTES of text are split at a time,
+    and their words become Python's only after the slices' dictionaries have become one."""
     import pyarrow as pa
 
-    place: dict[str, int] = {}
-    counts, ids = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+    counts, slices = [np.empty(0, np.int64)], []
     for held in common.sized(pa.table({"text": texts}).to_batches(), SLICE_BYTES):
-        n, own, words = _numbered_slice(pa.Table.from_batches(held).column("text"))
-        of = np.fromiter((place.setdefault(w, len(place)) for w in words), dtype=np.uint32, count=len(words))
+        n, own = _numbered_slice(pa.Table.from_batches(held).column("text"))
         counts.append(n)
-        ids.append(of[own])
-    return np.concatenate(counts), np.concatenate(ids), list(place)
-
-
-def _numbered_slice(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        slices.append(own)
+    if not slices:
+        return counts[0], np.empty(0, np.uint32), []
+    slices = pa.chunked_array(slices).unify_dictionaries().chunks
+    ids = np.concatenate([x.indices.to_numpy(zero_copy_only=False).astype(np.uint32) for x in slices])
+    words = slices[-1].dictionary.to_pylist()
+    del slices
+    pa.default_memory_pool().release_unused()
+    return np.concatenate(counts), ids, words
+
+
+def _numbered_slice(texts):
+    """How many words each text has, and the words, as an Arrow array with a dictionary."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -281,26 +291,51 @@ def _numbered_slice(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
     parts = pc.split_pattern(pc.if_else(odd, "", texts), " ")
     counts = np.where(odd.to_numpy(zero_copy_only=False), 0, pc.list_value_length(parts).to_numpy(zero_copy_only=False)).astype(np.int64)
     enc = parts.flatten().dictionary_encode()
-    words = [SPACE + w for w in enc.dictionary.to_pylist()]
-    ids = enc.indices.to_numpy(zero_copy_only=False).astype(np.uint32)
+    words = pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), enc.dictionary, pa.scalar("", pa.large_string()))
+    ids = enc.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     strange = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
     if len(strange):
         keep = np.repeat(~odd.to_numpy(zero_copy_only=False), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
         ids = ids[keep]
-        place = {w: i for i, w in enumerate(words)}
+        place = {w: i for i, w in enumerate(words.to_pylist())}
         more, cuts = [], []
         for i in strange.tolist():
             found = [place.setdefault(w, len(place)) for w in words_of(texts[i].as_py())]
             counts[i] = len(found)
-            more.append(np.array(found, dtype=np.uint32))
+            more.append(np.array(found, dtype=np.int32))
             cuts.append(i)
         starts = np.cumsum(counts) - counts
-        out = np.empty(int(counts.sum()), dtype=np.uint32)
+        out = np.empty(int(counts.sum()), dtype=np.int32)
         is_odd = np.zeros(len(out), dtype=bool)
         is_odd[_ragged(starts[cuts], counts[cuts])] = True
         out[is_odd], out[~is_odd] = np.concatenate(more), ids
-        ids, words = out, list(place)
-    return counts, ids, words
+        ids, words = out, pa.array(list(place), pa.large_string())
+    return counts, pa.DictionaryArray.from_arrays(pa.array(ids, pa.int32()), words)
+
+
+def _atoms(words: list[str], pieces: Pieces) -> tuple[array, array, list[str]]:
+    """How many atoms each word has, the number of each of them, and the different atoms."""
+    place: dict[str, int] = {}
+    many, used = array("I"), array("I")
+    for w in words:
+        cut = atoms_of(w, pieces)
+        many.append(len(cut))
+        used.extend([place.setdefault(x, len(place)) for x in cut])
+    return many, used, list(place)
+
+
+def _dealt(atoms: list[str], ranges: int) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+    """Each range with the packed list of its atoms, sorted, and the place of each atom in the lists one after the other."""
+    of: dict[int, list[int]] = {}
+    for i, x in enumerate(atoms):
+        of.setdefault(zlib.crc32(x.encode("utf-8", "surrogatepass")) % ranges, []).append(i)
+    number, lists, first = np.empty(len(atoms), dtype=np.uint32), [], 0
+    for r in sorted(of):
+        own = sorted(of.pop(r), key=atoms.__getitem__)
+        number[own] = np.arange(first, first + len(own))
+        lists.append((r, _pack_words([atoms[i] for i in own])))
+        first += len(own)
+    return lists, number
 
 
 def encode(docs: DataFrame, model: str, fold: str = "merge") -> DataFrame:
@@ -327,18 +362,17 @@ def encode(docs: DataFrame, model: str, fold: str = "merge") -> DataFrame:
         def rows(held):
             t = pa.Table.from_batches(held)
             counts, ids, words = _numbered(t.column("text"))
-            cut = [atoms_of(w, pieces) for w in words]
-            dealt: dict[int, list[str]] = {}
-            for x in {x for c in cut for x in c}:
-                dealt.setdefault(zlib.crc32(x.encode("utf-8", "surrogatepass")) % ranges, []).append(x)
-            lists = [(r, sorted(dealt[r])) for r in sorted(dealt)]
-            place = {x: i for i, x in enumerate(x for _, own_ in lists for x in own_)}
-            parts = [_pack(np.fromiter(map(len, cut), dtype=np.uint16 if max(map(len, cut), default=0) < 65536 else np.uint32, count=len(cut))), _pack(np.array([place[x] for c in cut for x in c], dtype=np.uint32)), _pack(counts), _pack(ids)]
+            many, used, atoms = _atoms(words, pieces)
+            del words
+            lists, number = _dealt(atoms, ranges)
+            del atoms
+            wide = max(many, default=0) >= 65536
+            parts = [_pack(np.array(many, dtype=np.uint32 if wide else np.uint16)), _pack(number[np.array(used, dtype=np.uint32)]), _pack(counts), _pack(ids)]
             body = common.pack_table(pa.table({"doc_id": t.column("doc_id")}))
-            data = pa.table({"ids": pa.array([body], pa.binary()), "wide": pa.array([max(map(len, cut), default=0) >= 65536]), **{f"p{i}": pa.array([x], pa.binary()) for i, x in enumerate(parts)}})
+            data = pa.table({"ids": pa.array([body], pa.binary()), "wide": pa.array([wide]), **{f"p{i}": pa.array([x], pa.binary()) for i, x in enumerate(parts)}})
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([-1], pa.int64()), pa.array([common.pack_table(data)], pa.binary())], names=names)
             if lists:
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(lists), pa.int64()), pa.array([r for r, _ in lists], pa.int64()), pa.array([_pack_words(x) for _, x in lists], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(lists), pa.int64()), pa.array([r for r, _ in lists], pa.int64()), pa.array([x for _, x in lists], pa.binary())], names=names)
             common.release()
 
         at = TaskContext.get().partitionId() << 24
@@ -397,8 +431,11 @@ def encode(docs: DataFrame, model: str, fold: str = "merge") -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(n_atom[atoms])])
             first = np.cumsum(of_word) - of_word
             at_word, n_word = ends[first], ends[first + of_word] - ends[first]
-            tokens = ids_word[_ragged(at_word[numbers], n_word[numbers])].astype("<i4")
             last = np.concatenate([[0], np.cumsum(n_word[numbers])])
+            tokens = np.empty(last[-1], dtype="<i4")
+            for a in range(0, len(numbers), SLICE_WORDS):
+                part = numbers[a : a + SLICE_WORDS]
+                tokens[last[a] : last[a + len(part)]] = ids_word[_ragged(at_word[part], n_word[part])]
             cuts = last[np.concatenate([[0], np.cumsum(counts)])]
             crc = [zlib.crc32(tokens[a:z]) for a, z in zip(cuts.tolist(), cuts[1:].tolist())]
             out.append(pa.table({"doc_id": common.unpack_table(p.column("ids")[0].as_py()).column("doc_id"), "n_tokens": pa.array(np.diff(cuts)), "ids_crc32": pa.array(crc, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(tokens))}))

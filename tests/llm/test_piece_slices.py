@@ -22,6 +22,22 @@ def test_a_slice_bounds_what_is_split_at_once(monkeypatch):
     assert len(seen) > 2 and max(seen) < 2 * sentencepiece.SLICE_BYTES
 
 
+def test_words_keep_their_atoms_when_these_are_dealt():
+    """Numbers point into the ranges' lists one after the other; no word keeps a tuple of its own on the way."""
+    import public_tokenizers
+
+    pieces = sentencepiece.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    words = ["▁the", "▁end.", "▁日本x", "▁", "▁a-b,c", "▁the,"]
+    many, used, atoms = sentencepiece._atoms(words, pieces)
+    lists, number = sentencepiece._dealt(atoms, 5)
+    every = [x for _, data in lists for x in sentencepiece._unpack_words(data)]
+    ends = np.cumsum(many)
+    for w, z, n in zip(words, ends.tolist(), many):
+        assert tuple(every[number[i]] for i in used[z - n : z]) == sentencepiece.atoms_of(w, pieces)
+    assert sorted(every) == sorted(set(every)) and [r for r, _ in lists] == sorted({r for r, _ in lists})
+    assert sentencepiece._dealt([], 3)[0] == []
+
+
 def test_batches_are_small_inside_and_as_before_after(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
