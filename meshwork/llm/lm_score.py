@@ -1,11 +1,13 @@
 """LM scoring by online logistic context mixing.
 
-A token's probability mixes how often training has it with how it is spelled. Spelling is predicted bit by bit: for
-each of several context lengths a hashed table has counts of zeros and ones; their stretched probabilities are summed
-with weights that a gate selects and online gradient steps have learned; a last table refines the result from what
-came true at like predictions. How often training has a token is known for each class of its documents (their `lang`);
-within a text the classes' weights adapt with every token, as Bayes' rule has it. Only different words are spelled out,
-each once, so the work follows the vocabulary; documents get their words' scores back in packed blocks."""
+A text is its lower-cased tokens, a space after each, and an end. Its bytes are predicted bit by bit from hashed contexts
+that run on across words: the last 2 to 5 bytes, and the word so far. Each has a table that counts the zeros and ones of
+all training text; their stretched probabilities are summed with weights that a gate selects and online gradient steps
+have learned, and a last table refines the result from what came true at like predictions. Along a text the weights go on
+learning: what has been read of it moves them for what comes.
+
+A prediction depends on the context and the byte, so the tables are filled, and the weights learned, from the different
+(context, byte) keys of the corpus with how often each occurs; a text's own steps are taken over all its bytes."""
 
 from __future__ import annotations
 
@@ -18,70 +20,169 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of context before the predicted byte, and cells of each context's hashed table (8 bytes each).
-ORDERS, CELLS = (2, 3, 4, 5), 1 << 20
+#: Bytes of context before the predicted byte (0 stands for the word so far), and cells of each context's hashed table (8 bytes each).
+ORDERS, CELLS = (2, 3, 4, 5, 0), 1 << 21
 SLICES = 64
-#: Gates: the bit's place by how many of the contexts have been seen.
-GATES = 8 * (len(ORDERS) + 1)
-RATE, BATCH, BUCKETS = 0.5, 4096, 33
+#: What is added to a cell's zeros and ones.
+PRIOR = np.float32(0.05)
+#: Gates: the bit's place, by how often the word so far and the last five bytes have been seen, by how many bytes of the last five are the word's.
+SEEN = np.array([1, 2, 4, 16, 128])
+GATES = 8 * 6 * (len(SEEN) + 1) ** 2
+RATE, BATCH, BUCKETS = 0.1, 1024, 33
+#: Along a text: the rate, and the bytes of the first stretch after which its weights move (later ones grow with what has been read).
+OWN_RATE, STRETCH = 0.1, 32
 END = b"\n"
-#: The commonest classes that are told apart (the others count as one more), and the weight of a token's own class against all.
-CLASSES, OWN = 15, 0.95
-#: Words that a task spells out at once.
-WORDS = 100_000
+#: Bytes of text whose keys are made at once.
+CHUNK_BYTES = 4 << 20
+_GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
+
+
+def _spelling(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each byte of each text (tokens with one space between), the space after its last token and the end: from
+    the top 16 bits of a hash of the word so far, five bytes of context, and the byte itself; and how many keys each text has."""
+    texts = [t + b" \n" if t else END for t in texts]
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    data = np.frombuffer(b"".join([b"\0\0\0\0 " + t for t in texts]), dtype=np.uint8)
+    wide, n = data.astype(np.uint64), len(data)
+    with np.errstate(over="ignore"):
+        powers = np.full(n, _ODD, dtype=np.uint64)
+        powers[:1] = 1
+        powers = np.cumprod(powers)
+        before = np.cumsum((wide + np.uint64(1)) * powers) - (wide + np.uint64(1)) * powers
+        first = np.zeros(n, dtype=np.int64)  # where the word starts that a byte belongs to
+        first[1:] = np.where(data[:-1] == 32, np.arange(1, n), 0)
+        first = np.maximum.accumulate(first)
+        back = np.full(n, pow(_ODD, -1, 1 << 64), dtype=np.uint64)
+        back[:1] = 1
+        word = (before - before[first]) * np.cumprod(back)[first]
+        word = ((word ^ (word >> np.uint64(29))) * _GOLD) >> np.uint64(48)
+    keys = wide | (word << np.uint64(48))
+    for k in range(1, 6):
+        keys[k:] |= wide[:-k] << np.uint64(8 * k)
+    kept = np.ones(n, dtype=bool)
+    starts = np.cumsum(lengths + 5) - lengths
+    kept[(starts[:, None] - np.arange(1, 6)).ravel()] = False
+    return keys[kept], lengths
 
 
-def _spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Six bytes for each byte of each word and the space after it (none after the end token): five of context, and itself; and the word's number."""
-    data = np.frombuffer(b"".join([b"\0\0\0\0 " + w + b" " for w in words]), dtype=np.uint8).astype(np.uint64)
-    lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
-    starts = np.cumsum(lengths + 5) - lengths
-    lengths -= np.array([w == END for w in words], dtype=np.int64)
-    of = np.repeat(np.arange(len(words)), lengths)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[of]
-    keys = data[at].copy()
-    for k in range(1, 6):
-        keys |= data[at - k] << np.uint64(8 * k)
-    return keys, of
+def _inside(keys: np.ndarray) -> np.ndarray:
+    """How many of each key's five bytes of context belong to the word."""
+    inside, going = np.zeros(len(keys), dtype=np.uint64), np.ones(len(keys), dtype=bool)
+    for i in range(1, 6):
+        going &= (keys >> np.uint64(8 * i)) & np.uint64(255) != 32
+        inside += going
+    return inside
+
+
+def _contexts(keys: np.ndarray) -> list[np.ndarray]:
+    """A hash of each order's context of each key."""
+    before, out = keys >> np.uint64(8), []
+    for k in ORDERS:
+        if k:
+            c = before & np.uint64((1 << (8 * k)) - 1)
+        else:
+            inside = _inside(keys)
+            c = before & ~(((np.uint64(1) << (np.uint64(8) * (np.uint64(5) - inside))) - np.uint64(1)) << (np.uint64(8) * inside))
+        out.append((c * np.uint64(256) + np.uint64(k)) * _GOLD)
+    return out
 
 
-def _cells(keys: np.ndarray, bit: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _cells(keys: np.ndarray, bit: int, contexts: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """The cell in each order's table for a bit of each key's last byte, and the bit."""
     byte = (keys & np.uint64(255)).astype(np.int64)
-    node = ((1 << bit) | (byte >> (8 - bit))).astype(np.uint64)
-    out = []
-    for k in ORDERS:
-        h = ((keys >> np.uint64(8)) & np.uint64((1 << (8 * k)) - 1)) * np.uint64(256) + node
-        h = (h + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-        out.append((h >> np.uint64(44)).astype(np.int64))
-    return out, (byte >> (7 - bit)) & 1
+    node = (((1 << bit) | (byte >> (8 - bit))) << 3).astype(np.uint64) * _GOLD
+    return [((h + node) >> np.uint64(43)).astype(np.int64) for h in contexts or _contexts(keys)], (byte >> (7 - bit)) & 1
+
+
+def _chunks(texts: list[bytes], most: int | None = None):
+    """Runs of the texts' places with about CHUNK_BYTES each."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= (most or CHUNK_BYTES):
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def _merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and their summed times."""
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], np.concatenate(times)[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
+    return every[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, and the number of each key."""
+    import pyarrow as pa
 
+    enc = pa.array(keys).dictionary_encode()
+    return enc.dictionary.to_numpy(zero_copy_only=False), enc.indices.to_numpy(zero_copy_only=False)
 
-def _words(batches):
-    """The words of several Arrow batches at once."""
-    held: list[bytes] = []
-    for b in batches:
-        held += b.column("word").to_pylist()
-        if len(held) >= WORDS:
-            yield held
-            held = []
-    if held:
-        yield held
+
+KEYS = "range long, keys binary, times binary"
+
+
+def _keys_of(ranges: int):
+    """The different keys of each block's training texts and how often they occur, dealt to ranges."""
+
+    def read(batches):
+        import pyarrow as pa
+        import zstandard
+
+        for b in batches:
+            for payload in b.column("payload").to_pylist():
+                t = common.unpack_table(payload)
+                texts = [b" ".join(_tokens(x)) for i, x in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist()) if not is_held_out(i)]
+                found = []
+                for a, z in _chunks(texts):
+                    keys, at = _counted(_spelling(texts[a:z])[0])
+                    found.append((keys, np.bincount(at, minlength=len(keys))))
+                keys, times = _merged([k for k, _ in found], [n for _, n in found])
+                del found
+                of = (((keys * _GOLD) >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
+                order = np.argsort(of, kind="stable")
+                cuts = np.searchsorted(of[order], np.arange(ranges + 1))
+                pack = zstandard.ZstdCompressor(level=1).compress
+                rows = [(r, common.pack_sorted(keys[order[x:y]]), pack(times[order[x:y]].astype("<u4").tobytes())) for r, (x, y) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if y > x]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["range", "keys", "times"])
+        common.release()
+
+    return read
+
+
+def _merge(t):
+    """One row of keys and summed times of a range."""
+    import pyarrow as pa
+    import zstandard
+
+    keys, times = _merged(*zip(*_unpacked(t)))
+    return pa.table({"range": t.column("range")[:1], "keys": pa.array([common.pack_sorted(keys)], pa.binary()), "times": pa.array([zstandard.ZstdCompressor(level=1).compress(times.astype("<i8").tobytes())], pa.binary())})
+
+
+def _unpacked(t, kind: str = "<u4"):
+    import zstandard
+
+    for k, n in zip(t.column("keys").to_pylist(), t.column("times").to_pylist()):
+        yield common.unpack_sorted(k), np.frombuffer(zstandard.ZstdDecompressor().decompress(n), dtype=kind).astype(np.int64)
 
 
 def _count(batches):
-    """Counts of each table in this task, each word once, in slices."""
+    """Counts of each table in this task, in slices."""
     import pyarrow as pa
     import zstandard
     from pyspark import TaskContext
 
     n = np.zeros((len(ORDERS), 2, CELLS), dtype=np.int32)
-    for words in _words(batches):
-        keys, times = np.unique(_spelling(words)[0], return_counts=True)
-        for bit in range(8):
-            cells, ones = _cells(keys, bit)
-            for k, c in enumerate(cells):
-                np.add.at(n[k].reshape(-1), ones * CELLS + c, times)
+    for b in batches:
+        for keys, times in _unpacked(b, "<i8"):
+            _add_keys(n, keys, times)
     task = TaskContext.get().partitionId() % 64
     pack = zstandard.ZstdCompressor(level=1).compress
     kind = pa.schema([("slice", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
@@ -90,6 +191,14 @@ def _count(batches):
             yield pa.RecordBatch.from_pydict({"slice": [i], "task": [task], "counts": [pack(part.tobytes())]}, schema=kind)
 
 
+def _add_keys(n: np.ndarray, keys: np.ndarray, times: np.ndarray) -> None:
+    contexts = _contexts(keys)
+    for bit in range(8):
+        cells, ones = _cells(keys, bit, contexts)
+        for k, c in enumerate(cells):
+            np.add.at(n[k].reshape(-1), ones * CELLS + c, times.astype(np.int32))
+
+
 def _add(t):
     import pyarrow as pa
     import zstandard
@@ -104,19 +213,40 @@ class Mixer:
     """Tables, gated weights and the refining table. Its size is fixed: 8 bytes for each cell of each order."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.int32)
-        self.weights = np.full((GATES, len(ORDERS)), 0.4)
+        self.counts: np.ndarray | None = counts.astype(np.int32, copy=False)
+        self.stretched: np.ndarray | None = None
+        self.often: np.ndarray | None = None
+        self.weights = np.full((GATES, len(ORDERS)), 0.3)
+        self.steps = np.full((GATES, len(ORDERS)), 1e-3)
         self.refined = np.zeros((8, BUCKETS, 2))
 
-    def inputs(self, keys: np.ndarray, bit: int, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Stretched predictions, gates and bits; own: how often the word itself is in the counts."""
-        cells, ones = _cells(keys, bit)
-        x, seen = np.empty((len(keys), len(ORDERS))), np.zeros(len(keys), dtype=np.int64)
+    def fitted(self) -> Mixer:
+        """What scoring takes: each cell's stretched prediction in place of its counts."""
+        out = Mixer(np.empty(0))
+        out.counts, out.weights, out.refined = None, self.weights, self.refined
+        out.stretched = np.empty((len(ORDERS), CELLS), dtype=np.float32)
+        for k, (n0, n1) in enumerate(self.counts):
+            out.stretched[k] = np.log((n1 + PRIOR) / (n0 + PRIOR))
+        out.often = np.stack([np.searchsorted(SEEN, n.sum(axis=0), "right").astype(np.uint8) for n in self.counts[-2:]])
+        return out
+
+    def inputs(self, keys: np.ndarray, bit: int, own: int, contexts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Stretched predictions, gates and bits; own: how often the byte itself is in the counts."""
+        cells, ones = _cells(keys, bit, contexts)
+        x, often = np.empty((len(keys), len(ORDERS)), dtype=np.float32), []
         for k, c in enumerate(cells):
-            n0, n1 = self.counts[k, 0][c] - own * (1 - ones), self.counts[k, 1][c] - own * ones
-            x[:, k] = np.log((np.maximum(n1, 0) + 0.05) / (np.maximum(n0, 0) + 0.05))
-            seen += (n0 + n1) > 0
-        return x, bit * (len(ORDERS) + 1) + seen, ones
+            last = k - len(ORDERS) + 2  # 0 and 1: the orders that the gates look at
+            if self.stretched is not None and not own:
+                x[:, k] = self.stretched[k][c]
+                if last >= 0:
+                    often.append(self.often[last][c])
+            else:
+                n0, n1 = np.maximum(self.counts[k, 0][c] - own * (1 - ones), 0), np.maximum(self.counts[k, 1][c] - own * ones, 0)
+                x[:, k] = np.log((n1 + PRIOR) / (n0 + PRIOR))
+                if last >= 0:
+                    often.append(np.searchsorted(SEEN, n0 + n1, "right"))
+        side = len(SEEN) + 1
+        return x, ((bit * 6 + _inside(keys).astype(np.int64)) * side + often[1]) * side + often[0], ones
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -12, 12)
@@ -126,63 +256,93 @@ class Mixer:
         return np.rint((s + 12) * ((BUCKETS - 1) / 24)).astype(np.int64)
 
     def learn(self, keys: np.ndarray, times: np.ndarray) -> None:
-        """One online step for each bit of a batch, its words left out of the counts."""
+        """One online step for each bit of a batch, its bytes left out of the counts."""
+        contexts = _contexts(keys)
         for bit in range(8):
-            x, gate, ones = self.inputs(keys, bit, 1)
+            x, gate, ones = self.inputs(keys, bit, 1, contexts)
             s = self.mixed(x, gate)
             error = (ones - 1 / (1 + np.exp(-s))) * times
             total = np.bincount(gate, times, GATES) + 1e-9
-            step = np.stack([np.bincount(gate, error * x[:, k], GATES) for k in range(len(ORDERS))], axis=1)
-            self.weights += RATE * step / total[:, None]
+            step = np.stack([np.bincount(gate, error * x[:, k], GATES) for k in range(len(ORDERS))], axis=1) / total[:, None]
+            self.steps += step**2
+            self.weights += RATE * step / np.sqrt(self.steps)
             np.add.at(self.refined, (bit, self.bucket(s), ones), times)
 
-    def log10_of(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each word's spelling."""
-        keys, of = _spelling(words)
-        keys, back = np.unique(keys, return_inverse=True)
-        total = np.zeros(len(keys))
+    def log10_of(self, texts: list[bytes]) -> np.ndarray:
+        """log10 of the probability of each text (tokens with one space between). Its own weights (of the gates' sum and of the
+        two longest contexts, added to it) take a gradient step after each stretch of the text, so that only bytes already read
+        move them."""
+        keys, lengths = _spelling(texts)
+        keys, at = _counted(keys)
+        contexts, byte = _contexts(keys), (keys & np.uint64(255)).astype(np.uint8)
+        moved = np.empty((3, len(keys), 8), dtype=np.float32)
         for bit in range(8):
-            x, gate, ones = self.inputs(keys, bit, 0)
-            s = self.mixed(x, gate)
-            n = self.refined[bit][self.bucket(s)]
-            p = 1 / (1 + np.exp(-s))
-            p = 0.5 * (p + (n[:, 1] + 20 * p) / (n.sum(axis=1) + 20))
-            total += np.log10(np.where(ones == 1, p, 1 - p))
-        return np.bincount(of, total[back], len(words))
-
-
-def fit_mixer(types: DataFrame) -> Mixer:
-    """Counts, weights and refining table from all training words (word), each counted once. Sums of fixed size reach the driver."""
+            x, gate, _ = self.inputs(keys, bit, 0, contexts)
+            moved[0, :, bit] = np.einsum("ij,ij->i", x, self.weights[gate])
+            moved[1, :, bit], moved[2, :, bit] = x[:, -2], x[:, -1]
+        bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
+        n, place = self.refined.sum(axis=2) + 20, BUCKETS * np.arange(8)
+        told, rest = (self.refined[:, :, 1] / n).ravel().astype(np.float32), (20 / n).ravel().astype(np.float32)
+        order = np.argsort(-lengths, kind="stable")
+        starts, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+        own, total = np.zeros((len(texts), len(moved)), dtype=np.float32), np.zeros(len(texts))
+        a = 0
+        while (live := int(np.searchsorted(-lengths, -a))) > 0:  # texts longer than a
+            z = a + max(STRETCH, a // 8)
+            each = np.minimum(lengths[:live], z) - a
+            first = np.cumsum(each) - each
+            of = np.repeat(np.arange(live), each)
+            here = at[np.arange(int(each.sum())) + (starts[:live] + a - first)[of]]
+            inputs, ones = [y[here] for y in moved], bits[byte[here]]
+            t = inputs[0] + sum(y * own[of, k][:, None] for k, y in enumerate(inputs))
+            p = 1 / (1 + np.exp(-np.clip(t, -12, 12, out=t)))
+            b = self.bucket(t) + place
+            q = 0.5 * (p + told[b] + rest[b] * p)
+            total[:live] += np.add.reduceat(np.log10(np.prod(1 - ones + (2 * ones - 1) * q, axis=1, dtype=np.float64)), first)
+            error = ones - p
+            step = np.stack([np.einsum("ij,ij->i", error, y) for y in inputs], axis=1)
+            own[:live] += OWN_RATE * np.add.reduceat(step, first, axis=0) / each[:, None].astype(np.float32)
+            a = z
+        out = np.empty(len(texts))
+        out[order] = total
+        return out
+
+
+def fit_mixer(blocks: DataFrame) -> Mixer:
+    """Counts, weights and refining table from all bytes of the blocks' training texts. Sums of fixed size reach the driver."""
     import zstandard
 
+    ranges = max(1, blocks.count())
+    every = common.written(blocks.mapInArrow(_keys_of(ranges), KEYS).groupBy("range").applyInArrow(_merge, KEYS), "keys")
     schema = "slice int, task int, counts binary"
-    rows = types.mapInArrow(_count, schema).groupBy("slice", "task").applyInArrow(_add, schema).groupBy("slice").applyInArrow(_add, schema)
+    rows = every.mapInArrow(_count, schema).groupBy("slice", "task").applyInArrow(_add, schema).groupBy("slice").applyInArrow(_add, schema)
     counts = np.zeros((SLICES * len(ORDERS), 2 * CELLS // SLICES), dtype=np.int32)
     for r in rows.toLocalIterator():
         counts[r["slice"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"])), dtype=np.int32)
     mixer = Mixer(counts.reshape(len(ORDERS), 2, CELLS))
-    shared = types.sparkSession.sparkContext.broadcast(mixer)
+    shared = blocks.sparkSession.sparkContext.broadcast(mixer)
 
     def learn(batches):
         import pyarrow as pa
 
         own, n = Mixer(shared.value.counts), 0
-        for words in _words(batches):
-            keys, times = np.unique(_spelling(words)[0], return_counts=True)
-            order = np.random.default_rng(len(words)).permutation(len(keys))
-            for at in range(0, len(keys), BATCH):
-                own.learn(keys[order[at : at + BATCH]], times[order[at : at + BATCH]])
-            n += len(words)
+        for b in batches:
+            for keys, times in _unpacked(b, "<i8"):
+                order = np.random.default_rng(len(keys)).permutation(len(keys))
+                for at in range(0, len(keys), BATCH):
+                    own.learn(keys[order[at : at + BATCH]], times[order[at : at + BATCH]])
+                n += int(times.sum())
         place = list(range(own.weights.size + own.refined.size))
         yield pa.RecordBatch.from_pydict({"place": place, "n": [float(n)] * len(place), "v": np.concatenate([own.weights.ravel() * n, own.refined.ravel()])})
 
-    sums = types.mapInArrow(learn, "place long, n double, v double").groupBy("place").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    sums = every.mapInArrow(learn, "place long, n double, v double").groupBy("place").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    shared.unpersist()
     for r in sums:
         if r.place < mixer.weights.size:
             mixer.weights.ravel()[r.place] = r.v / r.n if r.n else mixer.weights.ravel()[r.place]
         else:
             mixer.refined.ravel()[r.place - mixer.weights.size] = r.v
-    return mixer
+    return mixer.fitted()
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -193,95 +353,66 @@ def _tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _vocabulary(classes: list[str]):
-    """The different words of each block, and how often the training documents of each class have them."""
-    place = {c: i for i, c in enumerate(classes)}
-    names = ["word", "block", *(f"n{i}" for i in range(len(classes) + 1))]
-
-    def count(batches):
-        import pyarrow as pa
+def _vocabulary(batches):
+    """The different words of each block, and how often its training documents have them."""
+    import pyarrow as pa
 
-        for b in batches:
-            for block, payload in zip(b.column("block").to_pylist(), b.column("payload").to_pylist()):
-                t = common.unpack_table(payload)
-                n: list[Counter] = [Counter() for _ in range(len(classes) + 1)]
-                words: dict[bytes, None] = {END: None}
-                for doc_id, text, kind in zip(*(t.column(c).to_pylist() for c in ("doc_id", "text", "kind"))):
-                    tokens = _tokens(text)
-                    if is_held_out(doc_id):
-                        words.update(dict.fromkeys(tokens))
-                        continue
-                    own = n[place.get(kind, len(classes))]
-                    own.update(tokens)
-                    own[END] += 1
-                for own in n:
-                    words.update(dict.fromkeys(own))
-                every = list(words)
-                for at in range(0, len(every), 50_000):
-                    part = every[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([block] * len(part), pa.int64()), *(pa.array([own[w] for w in part], pa.int64()) for own in n)], names=names)
-
-    return count
+    for b in batches:
+        for block, payload in zip(b.column("block").to_pylist(), b.column("payload").to_pylist()):
+            t = common.unpack_table(payload)
+            n: Counter = Counter()
+            words: dict[bytes, None] = {END: None}
+            for doc_id, text in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist()):
+                tokens = _tokens(text)
+                if is_held_out(doc_id):
+                    words.update(dict.fromkeys(tokens))
+                else:
+                    n.update(tokens)
+                    n[END] += 1
+            words.update(dict.fromkeys(n))
+            every = list(words)
+            for at in range(0, len(every), 50_000):
+                part = every[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([block] * len(part), pa.int64()), pa.array([n[w] for w in part], pa.int64())], names=["word", "block", "c"])
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of each row.
 
     Trains on the documents that are not held out, all of them; a null doc_id is not held out. Null texts count as
-    empty: one end token. bits_per_byte spreads score over the tokens' bytes and one for each end. For each class a
-    token's probability is (1 - u) times its share of the class's training tokens, smoothed by its share of all, and u
-    times that of its spelling, u being the share of training tokens that occur once; a text's is the classes' mean,
-    weighted by their training documents, so all texts' sum to one. Classes are the values of lang; a held-out
-    document's own is not read. Without lang there is one class. Repeated rows get a row each and count each. Only doc_id,
-    text and lang are read. An empty table gives no rows."""
-    kind = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    own = docs.select(F.col("doc_id").cast("long"), "text", kind.alias("kind"))
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    common_first = own.filter(~held_out).groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(CLASSES + 1).collect()
-    classes, docs_of = [r.kind for r in common_first[:CLASSES]], [r["count"] for r in common_first[:CLASSES]]
-    prior = np.array([*docs_of, 1.0]) / (sum(docs_of) + 1)
-    size = len(classes) + 1
-    counted = [f"n{i}" for i in range(size)]
-    longs = ", ".join(f"{c} long" for c in counted)
+    empty: one end token. score is the mixer's log10 probability of the text's bytes (n_bytes: its tokens, a space after
+    each, and the end), so all texts' probabilities sum to at most one; bits_per_byte spreads it over them. Repeated rows
+    get a row each and count each. Only doc_id and text are read. A text must fit into a task. An empty table gives no rows."""
+    own = docs.select(F.col("doc_id").cast("long"), "text")
     blocks = common.text_blocks(own, "lm_blocks")
-    found = common.written(blocks.mapInArrow(_vocabulary(classes), f"word binary, block long, {longs}"), "vocabulary")
-    words = common.written(found.groupBy("word").agg(*(F.sum(c).alias(c) for c in counted)), "words")
-    c = sum((F.col(x) for x in counted[1:]), F.col(counted[0]))
-    total = words.agg(F.count(F.when(c > 0, 1)).alias("v"), F.count(F.when(c == 1, 1)).alias("once"), *(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in counted)).first()
-    n_of = np.array([total[x] for x in counted], dtype=np.float64)
-    n, v = int(n_of.sum()), total["v"]
-    unseen = min(max(total["once"], 1) / n, 0.5) if n else 1.0
-    shared = docs.sparkSession.sparkContext.broadcast(fit_mixer(words.filter(c > 0).select("word")))
-
-    def spell(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.log10_of(b.column("word").to_pylist()), pa.float32())], names=["word", *counted, "spelled"])
-
-    spelled = words.mapInArrow(spell, f"word binary, {longs}, spelled float")
-    told = found.select("word", "block").join(spelled, "word").select("block", "word", *counted, "spelled")
+    found = common.written(blocks.mapInArrow(_vocabulary, "word binary, block long, c long"), "vocabulary")
+    words = common.written(found.groupBy("word").agg(F.sum("c").alias("c")), "words")
+    total = words.agg(F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+    n, v = total["n"], total["v"]
+    shared = docs.sparkSession.sparkContext.broadcast(fit_mixer(blocks))
+    told = found.select("word", "block").join(words, "word").select("block", "word", "c")
 
     def gather(t, w):
         import pyarrow as pa
 
         place = {x: i for i, x in enumerate(w.column("word").to_pylist())}
-        each = np.stack([w.column(x).to_numpy() for x in counted], axis=1)
-        c = each.sum(axis=1)
+        c = w.column("c").to_numpy()
         base = np.log10((c + 1) / (n + v + 1))
-        known = OWN * each / np.maximum(n_of, 1) + (1 - OWN * (n_of > 0)) * (c / max(n, 1))[:, None]
-        s = np.log10(np.maximum((1 - unseen) * known + unseen * (10.0 ** w.column("spelled").to_numpy().astype(np.float64))[:, None], 1e-300))
         rows = []
         for payload in t.column("payload").to_pylist():
             docs_ = common.unpack_table(payload)
-            for doc_id, text in zip(docs_.column("doc_id").to_pylist(), docs_.column("text").to_pylist()):
-                tokens = [*_tokens(text), END]
-                at = np.fromiter(map(place.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-                by_class = s[at].sum(axis=0)
-                best = by_class.max()
-                score = float(best + np.log10((prior * 10.0 ** (by_class - best)).sum()))
-                size_ = sum(map(len, tokens)) + len(tokens) - 1
-                rows.append((doc_id, is_held_out(doc_id), len(tokens), int((c[at] > 0).sum()), n, float(base[at].sum()), score, size_, -score / np.log10(2) / size_))
+            ids, texts = docs_.column("doc_id").to_pylist(), []
+            for doc_id, text in zip(ids, docs_.column("text").to_pylist()):
+                tokens = _tokens(text)
+                at = np.fromiter(map(place.__getitem__, (*tokens, END)), dtype=np.int64, count=len(tokens) + 1)
+                texts.append(b" ".join(tokens))
+                rows.append((doc_id, is_held_out(doc_id), len(tokens) + 1, int((c[at] > 0).sum()), n, float(base[at].sum())))
+            del docs_
+            scores = np.concatenate([np.empty(0), *(shared.value.log10_of(texts[a:z]) for a, z in _chunks(texts))])
+            for i, (text, score) in enumerate(zip(texts, scores.tolist()), len(rows) - len(texts)):
+                size = len(text) + 2 if text else 1
+                rows[i] += (score, size, -score / np.log10(2) / size)
+        common.release()
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
