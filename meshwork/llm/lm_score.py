@@ -32,8 +32,8 @@ RATE, BATCH, BUCKETS = 0.1, 1024, 33
 #: Along a text: the rate, and the bytes of the first stretch after which its weights move (later ones grow with what has been read).
 OWN_RATE, STRETCH = 0.1, 32
 END = b"\n"
-#: Bytes of text whose keys are made at once.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text whose keys are made at once (some 80 bytes each are held meanwhile), and keys that are held before they are merged.
+CHUNK_BYTES, MOST_KEYS = 1 << 20, 1 << 20
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 
 
@@ -47,14 +47,18 @@ def _spelling(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         powers = np.full(n, _ODD, dtype=np.uint64)
         powers[:1] = 1
-        powers = np.cumprod(powers)
-        before = np.cumsum((wide + np.uint64(1)) * powers) - (wide + np.uint64(1)) * powers
+        np.cumprod(powers, out=powers)
+        powers *= wide + np.uint64(1)
+        before = np.cumsum(powers)
+        before -= powers
         first = np.zeros(n, dtype=np.int64)  # where the word starts that a byte belongs to
         first[1:] = np.where(data[:-1] == 32, np.arange(1, n), 0)
-        first = np.maximum.accumulate(first)
-        back = np.full(n, pow(_ODD, -1, 1 << 64), dtype=np.uint64)
-        back[:1] = 1
-        word = (before - before[first]) * np.cumprod(back)[first]
+        np.maximum.accumulate(first, out=first)
+        powers[:] = pow(_ODD, -1, 1 << 64)
+        powers[:1] = 1
+        word = before - before[first]
+        word *= np.cumprod(powers, out=powers)[first]
+        del powers, before, first
         word = ((word ^ (word >> np.uint64(29))) * _GOLD) >> np.uint64(48)
     keys = wide | (word << np.uint64(48))
     for k in range(1, 6):
@@ -138,11 +142,15 @@ def _keys_of(ranges: int):
         for b in batches:
             for payload in b.column("payload").to_pylist():
                 t = common.unpack_table(payload)
-                texts = [b" ".join(_tokens(x)) for i, x in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist()) if not is_held_out(i)]
+                texts = [b" ".join(_tokens(x.as_py())) for i, x in zip(t.column("doc_id").to_pylist(), t.column("text")) if not is_held_out(i)]
+                del t
                 found = []
                 for a, z in _chunks(texts):
                     keys, at = _counted(_spelling(texts[a:z])[0])
                     found.append((keys, np.bincount(at, minlength=len(keys))))
+                    if sum(len(k) for k, _ in found[1:]) > MOST_KEYS:
+                        found = [_merged(*zip(*found))]
+                del texts
                 keys, times = _merged([k for k, _ in found], [n for _, n in found])
                 del found
                 of = (((keys * _GOLD) >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
@@ -150,9 +158,10 @@ def _keys_of(ranges: int):
                 cuts = np.searchsorted(of[order], np.arange(ranges + 1))
                 pack = zstandard.ZstdCompressor(level=1).compress
                 rows = [(r, common.pack_sorted(keys[order[x:y]]), pack(times[order[x:y]].astype("<u4").tobytes())) for r, (x, y) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if y > x]
+                del keys, times, order
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["range", "keys", "times"])
-        common.release()
+                common.release()
 
     return read
 

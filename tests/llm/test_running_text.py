@@ -44,6 +44,18 @@ def test_keys_have_five_bytes_the_word_and_every_byte():
     assert (words[x + 2 : x + 22] == words[y + 2 : y + 22]).all()
 
 
+def test_what_a_chunk_holds_is_bounded(monkeypatch):
+    """A key's arrays take some 80 bytes for each byte of a chunk, so blocks are read chunk by chunk and merged on the way."""
+    import tracemalloc
+
+    text = b" ".join(b"%d" % (i * 7919) for i in range(lm_score.CHUNK_BYTES // 8))
+    tracemalloc.start()
+    lm_score._spelling([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 * lm_score.CHUNK_BYTES <= 200 << 20
+
+
 def test_occurrences_count():
     once, often = (fitted([b"ab"] * n + [b"ac"] * 10) for n in (1, 50))
     assert often.log10_of([b"ab"])[0] > once.log10_of([b"ab"])[0] + 0.2
