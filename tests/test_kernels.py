@@ -102,3 +102,24 @@ def test_coarse_matrix_is_inverted_or_replaced():
     inverse, sure = _inverted(np.ones((2, 2)))
     assert not sure and np.allclose(inverse, 0.25)
     assert _inverted(np.zeros((0, 0)))[1]
+
+
+def test_modes_take_an_inverse_where_the_kernel_is_sure(monkeypatch):
+    """A pseudo-inverse (singular values) is made only where the norms leave the kernel open; modes span what they did before."""
+    made, pinv = [], np.linalg.pinv
+    monkeypatch.setattr(np.linalg, "pinv", lambda *a, **k: (made.append(1), pinv(*a, **k))[1])
+    wind = np.diag(np.full(4, 0.3), 1) - np.diag([0.3] * 4 + [0.0])
+    for a, kernel in ((laplacian(5), 0), (laplacian(5, dirichlet=False), 1), (np.kron(np.eye(2), laplacian(4, dirichlet=False)), 2)):
+        a = a + np.kron(np.eye(5), wind) if kernel < 2 else a
+        d = np.ones(len(a))
+        d[-5:] = 0
+        b = d[:, None] * a * d
+        right, p = kernels.kernel_and_pinv(a)
+        assert right.shape[1] == kernel and np.allclose(p, pinv(a, rcond=1e-10), atol=1e-9) and np.allclose(a @ right, 0)
+        onto = np.eye(len(a)) - right @ right.T
+        values, vectors = np.linalg.eig(pinv(a, rcond=1e-10) @ b @ onto)
+        want = kernels.selected(values, vectors, 12, 0.6)
+        z = kernels.local_modes(a, b, 0.6, 12)[0]
+        v = kernels.orthonormal(z)
+        assert np.abs(want - v @ (v.T @ want)).max(initial=0.0) < 1e-7
+    assert len(made) == 2  # of the two floating pieces alone
