@@ -155,3 +155,25 @@ def test_bicgstab_keeps_to_maxit(system, maxit):
     _, a, _, b, _ = system
     got = solve(a, b, None, Config(krylov="bicgstab", rtol=1e-12, maxit=maxit))
     assert got.iterations == maxit and not got.converged and len(got.history) == 1 + (maxit + 1) // 2
+
+
+def test_bicgstab_keeps_one_table_of_its_vectors(spark, system):
+    """A half step writes its direction and all vectors once, and drops what it replaces."""
+    import os
+
+    from meshwork.plans.store import shared_dir
+
+    _, a, x, b, part = system
+    held = lambda: {n for n in os.listdir(shared_dir(spark)) if n.startswith("krylov-")}
+    before, m = held(), Schwarz(a, part, Config(krylov="bicgstab"), True)
+    r = solve(a, b, m, Config(krylov="bicgstab"))
+    assert r.converged and r.iterations > 2 and gap(r.x, x) < 1e-5 and not held() - before
+
+
+def test_coarse_space_stays_with_its_rows(system, capsys):
+    """A coarse correction shuffles the vector only, not the basis."""
+    _, a, _, b, part = system
+    m = Schwarz(a, part, Config(), True)
+    m.coarse_solve(b).explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and "Join" not in plan and "packed_basis" in plan
