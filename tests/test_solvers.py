@@ -177,3 +177,16 @@ def test_coarse_space_stays_with_its_rows(system, capsys):
     m.coarse_solve(b).explain()
     plan = capsys.readouterr().out
     assert "Exchange" not in plan and "Join" not in plan and "packed_basis" in plan
+
+
+def test_subdomains_of_a_grid_are_blocks(spark):
+    """About as many unknowns each as before, and fewer ghosts than unknowns where stretches of the numbering have more."""
+    from meshwork.plans import solver_queries
+
+    n = 64
+    p = grids.generate(spark, "laplace2d", grids.GridOptions(n, n))
+    part = written(solver_queries._blocks(p.rhs, n), "blocks")
+    sizes = [r["count"] for r in part.groupBy("part").count().collect()]
+    assert len(sizes) == 16 and set(sizes) == {256}
+    a = written(p.matrix, "matrix")
+    assert decompose.ghosts(a, part).count() < 1000 < decompose.ghosts(a, decompose.linear_partition(p.rhs, n * n, 16)).count()
